@@ -7,18 +7,111 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.llm import decontam, mixing, simhash, url_filter
 from varloom.session import read
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
-    from varloom.llm.simhash import near_duplicates
 
-    nd = near_duplicates(read(spark, d, "documents"))
+def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
+    nd = simhash.near_duplicates(read(spark, d, "documents"))
     return nd.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    s = decontam.scan(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    return s.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    labels = read(spark, d, "labels")
+    bad = F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(read(spark, d, "pages"), outcomes, [url_filter.parse_rule(*r) for r in RULES])
+
+
+def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
+    m = mixing.mix(read(spark, d, "documents"))
+    return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
+
+
+def _url_sql() -> str:
+    rules = sorted((url_filter.parse_rule(*r) for r in RULES), key=lambda r: (-len(r.text), r.text))
+    fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
+    pick = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in rules) + " END"
+    long_ = ", ".join(f"'{s}'" for s in url_filter.LONG_SUFFIXES)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def strength(table: str) -> str:
+        v = "m * (1 - m)"
+        return f"(SELECT 1 / least(greatest(coalesce(sum((bad - n * m) * (bad - n * m) - n * {v}) / nullif(sum(n * (n - 1) * {v}), 0), 0.5), 0.001), 0.999) - 1 FROM {table})"
+
+    return f"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+rows AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+out AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+seen AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM rows LEFT JOIN out USING (page_id) GROUP BY host),
+parts AS (SELECT *, string_split(host, '.') AS l FROM seen),
+two AS (SELECT *, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS t2, array_to_string(l[greatest(len(l) - 2, 1):], '.') AS t3 FROM parts),
+hosts AS (SELECT host, n, bad, CASE WHEN t2 IN ({long_}) THEN t2 ELSE l[len(l)] END AS suffix, CASE WHEN t2 IN ({long_}) THEN t3 ELSE t2 END AS domain FROM two),
+g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS p0 FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT p0 FROM g) AS m FROM hosts GROUP BY suffix),
+s1 AS (SELECT suffix, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("s0")} AS k FROM s0)),
+d0 AS (SELECT h.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS m FROM hosts h JOIN s1 ON h.suffix = s1.suffix GROUP BY 1, 2),
+d1 AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("d0")} AS k FROM d0)),
+h0 AS (SELECT host, n, bad, mean AS m FROM hosts JOIN d1 USING (suffix, domain)),
+h1 AS (SELECT host, n + k AS size, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("h0")} AS k FROM h0)),
+rep AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM h1)
+SELECT page_id, host, path, {pick("text")} AS rule, coalesce({pick("verdict")}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows LEFT JOIN rep USING (host)
+"""
+
+
+DECONTAM_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+bl AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+b AS (SELECT item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM bl),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+g AS (SELECT row_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT row_id, i, n, item_id FROM g JOIN win USING (n, g)),
+h AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY row_id),
+it AS (SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row_id, item_id FROM m) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row_id) LEFT JOIN it USING (row_id)
+"""
+
+MIX_SQL = rf"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM z GROUP BY source),
+s1 AS (SELECT *, (pos % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s0),
+s2 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lft, (sum(source_size) OVER ())::DOUBLE AS total FROM s1),
+lam AS (SELECT (total - bef) / lft AS lam FROM s2 WHERE cap >= (total - bef) / lft * w ORDER BY cap / w, pos LIMIT 1),
+t AS (SELECT source, pos, source_size, least(cap, (SELECT lam FROM lam) * w) AS target FROM s1),
+tw AS (SELECT *, floor(target + 1e-6)::BIGINT AS want FROM t),
+bd AS (SELECT pos, floor(sum(target) OVER (ORDER BY pos) / sum(target) OVER () * {mixing.RING} + 0.5)::BIGINT AS hi FROM tw WHERE target > 0),
+bounds AS (SELECT pos, hi, coalesce(lag(hi) OVER (ORDER BY pos), 0) AS lo FROM bd),
+n AS (SELECT ((sum(want) + {mixing.BLOCK - 1}) // {mixing.BLOCK})::BIGINT AS n FROM tw),
+sl AS (SELECT t AS slot, ((((t + 1) % {mixing.RING}) * {mixing.GOLD}) % {mixing.RING}) AS u FROM (SELECT unnest(range(0, (SELECT n FROM n))) AS t)),
+rk AS (SELECT slot, pos, row_number() OVER (PARTITION BY pos ORDER BY slot) - 1 AS rank FROM sl JOIN bounds ON u >= lo AND u < hi),
+bk AS (SELECT pos, (want + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks FROM tw),
+have AS (SELECT pos, blocks, coalesce(c, 0) AS have FROM bk LEFT JOIN (SELECT pos, count(*) AS c FROM rk GROUP BY pos) USING (pos)),
+tail AS (SELECT pos, unnest(range(have, blocks)) AS rank FROM have WHERE blocks > have),
+plan AS (SELECT slot, pos, rank FROM rk JOIN bk USING (pos) WHERE rank < blocks UNION ALL SELECT row_number() OVER (ORDER BY rank, pos) - 1 + (SELECT n FROM n), pos, rank FROM tail),
+c AS (SELECT doc_id, size, source_size, target, want, pos, sum(size) OVER (PARTITION BY pos ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM z JOIN tw ON z.source IS NOT DISTINCT FROM tw.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END AS ep FROM c),
+k AS (SELECT *, (ep * size + greatest(0, least(cum + size, want - ep * source_size) - cum))::BIGINT AS taken FROM e)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, plan.slot AS first_slot
+FROM k LEFT JOIN plan ON plan.pos = k.pos AND plan.rank = CASE WHEN taken > 0 THEN cum // {mixing.BLOCK} END
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": DECONTAM_SQL, "op4_url_filter": _url_sql(), "op8_mixing": MIX_SQL}
