@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontam, mixing, simhash, url_filter
+from varloom.llm import decontam, html_extract, langid, mixing, simhash, toxicity, url_filter
+from varloom.llm.common import crc_fold
 from varloom.session import read
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -18,6 +19,10 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     return nd.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(read(spark, d, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     s = decontam.scan(read(spark, d, "documents"), read(spark, d, "benchmark"))
     return s.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -30,6 +35,18 @@ def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge(read(spark, d, "pages"), outcomes, [url_filter.parse_rule(*r) for r in RULES])
 
 
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    got = toxicity.score(docs, toxicity.fit(docs, read(spark, d, "labels")))
+    return got.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    got = langid.predict(docs, langid.fit(docs))
+    return got.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     m = mixing.mix(read(spark, d, "documents"))
     return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
@@ -109,8 +126,11 @@ FROM k LEFT JOIN plan ON plan.pos = k.pos AND plan.rank = CASE WHEN taken > 0 TH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op8_mixing": op8_mixing,
 }
 
