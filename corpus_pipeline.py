@@ -1,8 +1,61 @@
-"""The corpus pipeline: language ID, toxicity, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: language ID, toxicity, SimHash near-dedup, decontamination, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; ``run`` writes each stage's
+result as Parquet to the shared folder and reads it again as the next one's documents. Every stage but the last
+returns the columns of ``documents``. Null and repeated rows, empty texts, ties and empty tables are handled as
+the operators' docstrings say; rows whose ``doc_id`` is null pass the filters on their text alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from varloom.llm import decontam, langid, mixing, simhash, toxicity
+from varloom.llm.common import materialize
+from varloom.session import read
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the labelled rows teach; texts without a letter go."""
+    return langid.keep_languages(docs, langid.fit(docs))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score reaches one half."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate component."""
+    return simhash.deduplicate(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages out of the texts; mostly contaminated documents go."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The source mix: how many words the training stream takes of each document, and where it enters."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("toxicity", toxic),
+    ("simhash_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
+
+#: The classifiers and SimHash can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

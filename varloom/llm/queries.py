@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontam, html_extract, langid, mixing, simhash, toxicity, url_filter
+from varloom.llm import ann, decontam, html_extract, langid, mixing, quality, simhash, toxicity, url_filter, warc
 from varloom.llm.common import crc_fold
 from varloom.session import read
 
@@ -47,11 +47,25 @@ def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, d: str) -> DataFrame:
+    got = warc.round_trip(read(spark, d, "pages"), spark)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     m = mixing.mix(read(spark, d, "documents"))
     return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
 
 
+def op9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.select(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def op10_ann(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read(spark, d, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def _url_sql() -> str:
     rules = sorted((url_filter.parse_rule(*r) for r in RULES), key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
@@ -100,6 +114,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (row_id) LEFT JOIN it USING (row_id)
 """
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+r AS (SELECT payload_digest, max(page_id) AS response FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN response IS NOT NULL AND page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM d LEFT JOIN r USING (payload_digest)
+"""
+
 MIX_SQL = rf"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM z GROUP BY source),
@@ -131,7 +154,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_ann": op10_ann,
 }
 
-ORACLE: dict[str, str] = {"op3_decontamination": DECONTAM_SQL, "op4_url_filter": _url_sql(), "op8_mixing": MIX_SQL}
+ORACLE: dict[str, str] = {"op3_decontamination": DECONTAM_SQL, "op4_url_filter": _url_sql(), "op7_warc": WARC_SQL, "op8_mixing": MIX_SQL}
