@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,19 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """Fit a model on a bounded sample inside one task, so that neither its rows nor its arrays burden the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        model = fit(pa.Table.from_batches(rows)) if rows else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = [r for r in sample.repartition(1).mapInArrow(run, "model binary").collect()]
+    models = [m for m in (pickle.loads(bytes(r[0])) for r in got) if m is not None]
+    return models[0] if models else None
+
+
 # ---------------------------------------------------------------- columns
 def crc_fold(id_col: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""

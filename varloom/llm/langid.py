@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import crc_fold, row_chunks, text_rows
+from varloom.llm.common import crc_fold, fit_in_task, row_chunks, text_rows
 from varloom.session import ship
 
 WINDOW = 256
@@ -185,8 +185,8 @@ def predict_rows(model: Model | None, arr: pa.Array) -> tuple[list[str], np.ndar
     return [model.langs[k] if ok else UNKNOWN for k, ok in zip(best, letter, strict=True)], score
 
 
-def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24 << 20) -> tuple[list[bytes], list[str]]:
-    """At most about max_docs labelled training rows and max_bytes of their text, chosen by id hash."""
+def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24 << 20) -> DataFrame:
+    """(doc_id, text, lang): at most about max_docs labelled training rows and max_bytes of their text, chosen by id hash."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2))
     grain = 1 << 30
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(grain))
@@ -195,12 +195,17 @@ def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24
     size = ok.where(h < cut).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         cut = int(cut * max_bytes / size)
-    got = ok.where(h < cut).select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return got.column("text").cast(pa.binary()).to_pylist(), got.column("lang").to_pylist()
+    return ok.where(h < cut).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, **sample) -> Model | None:
-    return fit_texts(*training_sample(docs, **sample))
+    ship(docs.sparkSession)
+
+    def run(rows: pa.Table) -> Model | None:
+        rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+        return fit_texts(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("lang").to_pylist())
+
+    return fit_in_task(training_sample(docs, **sample), run)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

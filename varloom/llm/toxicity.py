@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import RunHash, crc_fold, lut, row_chunks, spans, text_rows
+from varloom.llm.common import RunHash, crc_fold, fit_in_task, lut, row_chunks, spans, text_rows
 from varloom.session import ship
 
 _WORD = np.zeros(256, bool)
@@ -148,101 +148,123 @@ def doc_segments(model: Model, t: Tokens, rows: int) -> Iterator[tuple[int, list
 
 
 # ---------------------------------------------------------------- fitting
-def _tokens(texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-    parts = []
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    for lo, hi in row_chunks(offs, CHUNK):
-        t = Tokens.of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        t.doc = t.doc + lo
-        parts.append(t)
-    z = np.zeros(0, np.int64)
-    if not parts:
-        return Tokens(z, z, z, [np.zeros(0, np.uint64)] * (len(PREFIXES) + 1)), offs
-    return Tokens(np.concatenate([p.doc for p in parts]), z, z, [np.concatenate([p.levels[k] for p in parts]) for k in range(len(PREFIXES) + 1)]), offs
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int, Tokens]]:
+    """(first row, end row, tokens) of bounded runs of texts: no array of the whole sample's tokens is held."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
+            size += len(texts[hi])
+            hi += 1
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in texts[lo:hi]])]).astype(np.int64)
+        yield lo, hi, Tokens.of(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), offs)
+        lo = hi
+
 
+@dataclass
+class _Pairs:
+    """Each word of each document once, and two smallest word-triple hashes of each document."""
 
-def _one_of_copies(t: Tokens, y: np.ndarray) -> np.ndarray:
+    doc: np.ndarray
+    levels: list[np.ndarray]
+    low: np.ndarray  # (documents, 2), 0 for documents without words
+
+
+def _distinct(texts: list[bytes]) -> _Pairs:
+    docs, levels, low = [], [[] for _ in range(len(PREFIXES) + 1)], np.zeros((len(texts), 2), np.uint64)
+    for lo, hi, t in _chunks(texts):
+        w = t.levels[-1]
+        if not len(w):
+            continue
+        _, first = np.unique(w * np.uint64(0x9E3779B97F4A7C15) + t.doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
+        docs.append((t.doc[first] + lo).astype(np.int32))
+        for k, x in enumerate(t.levels):
+            levels[k].append(x[first])
+        tri = w.copy()
+        tri[:-1] = w[:-1] * np.uint64(3) + w[1:] * np.uint64(0x9E3779B97F4A7C15)
+        full = np.unique(t.doc)
+        for j, salt in enumerate((0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)):
+            low[lo + full, j] = np.minimum.reduceat((tri ^ (tri >> np.uint64(31))) * np.uint64(salt), np.searchsorted(t.doc, full))
+    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return _Pairs(cat(docs, np.int32), [cat(x, np.uint64) for x in levels], low)
+
+
+def _one_of_copies(low: np.ndarray, y: np.ndarray) -> np.ndarray:
     """One document of each group with the same label and the same smallest word-triple hash (two hashes)."""
-    w = t.levels[-1]
-    tri = w.copy()
-    tri[:-1] = w[:-1] * np.uint64(3) + w[1:] * np.uint64(0x9E3779B97F4A7C15)
     keep = np.ones(len(y), bool)
-    n = np.bincount(t.doc, minlength=len(y))
-    full = np.flatnonzero(n)
-    for salt in (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93):
-        h = (tri ^ (tri >> np.uint64(31))) * np.uint64(salt)
-        low = np.minimum.reduceat(h, np.searchsorted(t.doc, full)) if len(full) else h[:0]
-        key = low * np.uint64(2) + y[full].astype(np.uint64)
-        _, first = np.unique(key, return_index=True)
-        mine = np.zeros(len(y), bool)
+    full = np.flatnonzero(low.any(1))
+    for j in range(2):
+        _, first = np.unique(low[full, j] * np.uint64(2) + y[full].astype(np.uint64), return_index=True)
+        mine = np.ones(len(y), bool)
+        mine[full] = False
         mine[full[first]] = True
-        mine[n == 0] = True
         keep &= mine
     return keep
 
 
-def _stems(t: Tokens, y: np.ndarray, use: np.ndarray, c: float, drift: float, least: int, sure: float = 2.5) -> Model:
+def _stems(t: _Pairs, y: np.ndarray, use: np.ndarray, c: float, drift: float, least: int, sure: float = 2.5) -> Model:
     base = float((y[use].sum() + 0.5) / (use.sum() + 1.0)) if use.any() else 0.5
-    on = use[t.doc]
     model = Model(base=base, drift=drift)
-    cls = y[t.doc].astype(bool)
-    tox_tokens, all_tokens = int((cls & on).sum()), int(on.sum())
-    r0 = (tox_tokens + 0.5) / (all_tokens + 1.0)
-    parent = np.full(len(t.doc), r0)
+    at = np.flatnonzero(use[t.doc])
+    doc = t.doc[at]
+    toxic = y[doc] == 1
+    r0 = (int(toxic.sum()) + 0.5) / (len(at) + 1.0)
     odds0 = math.log(r0 / (1 - r0))
-    alive = np.zeros(len(t.doc), bool)  # some stem so far is kept
-    for h in t.levels:
-        some = on & (h != 0)
+    parent = np.full(len(at), r0)
+    alive = np.zeros(len(at), bool)  # some shorter stem is kept
+    for level in t.levels:
+        h = level[at]
+        some = np.flatnonzero(h)
         keys, inv = np.unique(h[some], return_inverse=True)
-        if len(keys):
-            # documents, not tokens, are counted: one text's repetitions are no evidence
-            pair = np.unique(inv.astype(np.int64) * (len(y) + 1) + t.doc[some])
-            k_of, d_of = pair // (len(y) + 1), pair % (len(y) + 1)
-            tox = np.bincount(k_of[y[d_of] == 1], minlength=len(keys)).astype(float)
-            n = np.bincount(k_of, minlength=len(keys)).astype(float)
-            up = np.zeros(len(keys))
-            up[inv] = parent[some]
-            r = (tox + c * up) / (n + c)
-            # the score uses the lower posterior bound, so that chance finds in few documents don't score
-            low = np.maximum(r - sure * np.sqrt(r * (1 - r) / (n + c + 1)), 1e-6)
-            score = np.log(low / (1 - low)) - odds0 - drift
-            under = np.zeros(len(keys), bool)
-            under[inv] = alive[some]
-            keep = ((tox >= least) & (score > 0)) | (under & (n >= 2))
-            p = parent[some]
-            p[:] = r[inv]
-            parent[some] = p
-            a = alive[some]
-            a |= keep[inv]
-            alive[some] = a
-            model.keys.append(keys[keep])
-            model.scores.append(score[keep])
-        else:
+        if not len(keys):
             model.keys.append(keys)
             model.scores.append(np.zeros(0))
+            continue
+        # documents, not tokens, are counted: one text's repetitions are no evidence
+        pair = np.unique(inv.astype(np.int64) * (len(y) + 1) + doc[some])
+        k_of = pair // (len(y) + 1)
+        n = np.bincount(k_of, minlength=len(keys)).astype(float)
+        tox = np.bincount(k_of[y[pair % (len(y) + 1)] == 1], minlength=len(keys)).astype(float)
+        up = np.zeros(len(keys))
+        up[inv] = parent[some]
+        r = (tox + c * up) / (n + c)
+        # the score uses the lower posterior bound, so that chance finds in few documents don't score
+        low = np.maximum(r - sure * np.sqrt(r * (1 - r) / (n + c + 1)), 1e-6)
+        score = np.log(low / (1 - low)) - odds0 - drift
+        under = np.zeros(len(keys), bool)
+        under[inv] = alive[some]
+        keep = ((tox >= least) & (score > 0)) | (under & (n >= 2))
+        parent[some] = r[inv]
+        alive[some] |= keep[inv]
+        model.keys.append(keys[keep])
+        model.scores.append(score[keep])
     return model
 
 
-def _extreme_values(model: Model, t: Tokens, clean: np.ndarray) -> None:
+def _extreme_values(model: Model, texts: list[bytes], clean: np.ndarray) -> None:
     """lambda and K of the model from clean documents (Karlin-Altschul)."""
-    s = model.token_scores(t)
-    mine = s[clean[t.doc]]
     top = max((float(x.max()) for x in model.scores if len(x)), default=1.0)
-    vals, n = np.unique(np.round(np.append(mine, max(top, 0.1)), 3), return_counts=True)
-    p = n / n.sum()
+    seen: dict[float, int] = {round(max(top, 0.1), 3): 1}
+    runs: list[tuple[float, int]] = []
+    mine = [texts[i] for i in np.flatnonzero(clean).tolist()]
+    for lo, hi, t in _chunks(mine):
+        s = model.token_scores(t)
+        for v, n in zip(*np.unique(np.round(s, 3), return_counts=True), strict=True):
+            seen[float(v)] = seen.get(float(v), 0) + int(n)
+        cut = np.searchsorted(t.doc, np.arange(hi - lo + 1))
+        for i in np.unique(t.doc[s > 0]).tolist():
+            a, b = int(cut[i]), int(cut[i + 1])
+            runs.append((max(x[2] for x in segments_of(s[a:b])), b - a))
+    vals = np.array(sorted(seen))
+    p = np.array([seen[v] for v in vals.tolist()], float)
+    p /= p.sum()
     lo, hi = 1e-3, 5.0
     if (p * vals).sum() < 0:
         for _ in range(60):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * vals, 500.0))).sum() < 1 else (lo, mid)
         model.lam = lo
-    best = []
-    cut = np.searchsorted(t.doc, np.arange(len(clean) + 1))
-    for i in np.flatnonzero(clean).tolist():
-        a, b = int(cut[i]), int(cut[i + 1])
-        if b > a and (s[a:b] > 0).any():
-            best.append(model.lam * max(x[2] for x in segments_of(s[a:b])) - math.log(b - a))
+    best = [model.lam * s - math.log(n) for s, n in runs]
     model.log_k = float(np.mean(best) - 0.5772) if len(best) >= 10 else math.log(0.1)
 
 
@@ -267,32 +289,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def _statistics(model: Model, t: Tokens, rows: int) -> np.ndarray:
-    return np.array([model.statistic(seg, n) for n, seg in doc_segments(model, t, rows)]).reshape(rows, 2)
+def _statistics(model: Model, texts: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(texts), 2))
+    for lo, hi, t in _chunks(texts):
+        out[lo:hi] = [model.statistic(seg, n) for n, seg in doc_segments(model, t, hi - lo)]
+    return out
 
 
 def fit_texts(texts: list[bytes], labels: np.ndarray, c: float = 5.0, drift: float = 0.5, least: int = 3) -> Model:
     """A model from training texts and 0/1 labels."""
     y = np.asarray(labels).astype(int)
-    t, _ = _tokens(texts)
     if len(y) == 0:
         return Model(coef=(0.0, 0.0, 0.0))
-    use = _one_of_copies(t, y)
+    t = _distinct(texts)
+    use = _one_of_copies(t.low, y)
     half = np.random.default_rng(7).permutation(len(y)) % 2 == 0
     stats = np.zeros((len(y), 2))
     for side in (half, ~half):
         m = _stems(t, y, use & side, c, drift, least)
-        _extreme_values(m, t, use & side & (y == 0))
-        stats[~side] = _statistics(m, t, len(y))[~side]
+        _extreme_values(m, texts, use & side & (y == 0))
+        stats[~side] = _statistics(m, [texts[i] for i in np.flatnonzero(~side).tolist()])
     model = _stems(t, y, use, c, drift, least)
-    _extreme_values(model, t, use & (y == 0))
+    _extreme_values(model, texts, use & (y == 0))
     # the rows that repeat calibrate once, like the rows that fitted the stems
     model.coef = _logistic(stats[use], y[use].astype(float))
+    model._seen = None
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_docs: int = 8_000, max_bytes: int = 48 << 20) -> tuple[list[bytes], np.ndarray]:
-    """At most about max_docs labelled training rows and max_bytes of their text, chosen by id hash."""
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_docs: int = 8_000, max_bytes: int = 48 << 20) -> DataFrame:
+    """(doc_id, text, y): at most about max_docs labelled training rows and max_bytes of their text, chosen by id hash."""
     y = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0))
     y = y.select("doc_id", F.col(label_col).cast("int").alias("y"))
     grain = 1 << 30
@@ -308,12 +334,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     size = rows(cut).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         cut = int(cut * max_bytes / size)
-    got = rows(cut).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
-    return got.column("text").cast(pa.binary()).to_pylist(), got.column("y").to_numpy()
+    return rows(cut).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
-    return fit_texts(*training_sample(docs, labels, **sample))
+    ship(docs.sparkSession)
+
+    def run(rows: pa.Table) -> Model:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        return fit_texts(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("y").to_numpy())
+
+    return fit_in_task(training_sample(docs, labels, **sample), run) or fit_texts([], np.zeros(0))
 
 
 # ---------------------------------------------------------------- scoring
