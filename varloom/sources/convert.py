@@ -51,7 +51,7 @@ def read_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     v = v.where(~F.contains("ALT", F.lit(",")) & (F.col("gt") > 0))
     if region:
         v = v.where((F.col("chrom") == str(region[0]).removeprefix("chr")) & F.col("POS").between(region[1], region[2]))
-    gt = F.transform("calls", lambda c: F.element_at(F.split(c, ":"), F.col("gt")))
+    gt = F.transform("calls", lambda c: F.get(F.split(c, ":"), F.col("gt") - 1))
     dose = F.transform(gt, lambda c: F.when(F.contains(c, F.lit(".")), F.lit(None)).otherwise(F.size(F.filter(F.split(c, "[/|]"), lambda a: a == "1"))).cast("tinyint"))
     v = v.withColumn("dose", dose)
     if min_ac is not None:

@@ -371,6 +371,7 @@ def register(spark: SparkSession) -> None:
     from varloom.session import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GtPack)
 
 
