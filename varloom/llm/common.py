@@ -79,12 +79,22 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
 
-def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
-    """Fit a model on a bounded sample inside one task, so that neither its rows nor its arrays burden the driver."""
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """Fit a model on a bounded sample inside one task, so that neither its rows nor its arrays burden the driver.
+
+    ``fit`` gets the rows as tuples (strings as UTF-8 bytes), ordered by all their columns; Arrow's copy of
+    them is given back before it runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        model = fit(pa.Table.from_batches(rows)) if rows else None
+        rows: list[tuple] = []
+        for b in batches:
+            rows += zip(*[(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in b.columns], strict=True)
+        b = None
+        pa.default_memory_pool().release_unused()
+        rows.sort()
+        model = fit(rows) if rows else None
+        rows.clear()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     got = [r for r in sample.repartition(1).mapInArrow(run, "model binary").collect()]

@@ -8,7 +8,7 @@ is tabulated per byte pair, exactly: width 4 is the sum of two pair lookups. A t
 consecutive windows, all of them are applied in batches, and their log-probabilities are averaged.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled training
-row every text is ``und``; with one language every text with a letter has it; null languages teach nothing;
+row every text is ``und``; rows whose ``doc_id`` is null are predicted but teach nothing; with one language every text with a letter has it; null languages teach nothing;
 repeated rows give repeated results; empty tables give empty results; other columns are ignored.
 """
 
@@ -187,7 +187,7 @@ def predict_rows(model: Model | None, arr: pa.Array) -> tuple[list[str], np.ndar
 
 def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, text, lang): at most about max_docs labelled training rows and max_bytes of their text, chosen by id hash."""
-    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2))
+    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 4) != 2))
     grain = 1 << 30
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(grain))
     n = ok.count()
@@ -201,9 +201,8 @@ def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24
 def fit(docs: DataFrame, **sample) -> Model | None:
     ship(docs.sparkSession)
 
-    def run(rows: pa.Table) -> Model | None:
-        rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-        return fit_texts(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("lang").to_pylist())
+    def run(rows: list[tuple]) -> Model | None:
+        return fit_texts([r[1] for r in rows], [r[2].decode() for r in rows])
 
     return fit_in_task(training_sample(docs, **sample), run)
 

@@ -13,8 +13,8 @@ The model is fitted on a bounded sample of labelled training rows (``max_docs``
 text by id hash); copies in it count once. Scoring reads whole texts and broadcasts only the fitted table
 (bounded by the sample). Inputs of a score are the text alone.
 
-Edge cases: null, empty and word-free texts score the base rate; with no labelled rows of either class
-every score is the base rate of one pseudo-row each; labels other than 0/1 and null labels are ignored;
+Edge cases: null, empty and word-free texts score the base rate; with no labelled rows every
+score is 0.1, so that a filter drops nothing unseen; labels other than 0/1 and null labels are ignored;
 repeated label rows of one document: the largest label counts; repeated documents give repeated rows;
 a null ``doc_id`` is hashed as the empty text and can't have a label; empty tables give empty results.
 """
@@ -38,6 +38,7 @@ _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _LUT = lut(_WORD)
 PREFIXES = (4, 5, 6)
 CHUNK = 1 << 20
+UNTAUGHT = math.log(0.1 / 0.9)  # log-odds of every text when no label is known
 _BITS = 22
 _MASK = np.uint64((1 << _BITS) - 1)
 
@@ -82,6 +83,8 @@ class Model:
     def token_scores(self, t: Tokens) -> np.ndarray:
         """Score of each token: that of its longest known stem, else the background's."""
         out = np.full(len(t.doc), -self.drift)
+        if not self.keys:
+            return out
         if self._seen is None:
             self._seen = []
             for k in self.keys:
@@ -176,6 +179,7 @@ def _distinct(texts: list[bytes]) -> _Pairs:
         w = t.levels[-1]
         if not len(w):
             continue
+        # hashed, as sorting pairs of numbers would take twice the memory
         _, first = np.unique(w * np.uint64(0x9E3779B97F4A7C15) + t.doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
         docs.append((t.doc[first] + lo).astype(np.int32))
         for k, x in enumerate(t.levels):
@@ -300,7 +304,7 @@ def fit_texts(texts: list[bytes], labels: np.ndarray, c: float = 5.0, drift: flo
     """A model from training texts and 0/1 labels."""
     y = np.asarray(labels).astype(int)
     if len(y) == 0:
-        return Model(coef=(0.0, 0.0, 0.0))
+        return Model(coef=(UNTAUGHT, 0.0, 0.0))
     t = _distinct(texts)
     use = _one_of_copies(t.low, y)
     half = np.random.default_rng(7).permutation(len(y)) % 2 == 0
@@ -340,9 +344,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
     ship(docs.sparkSession)
 
-    def run(rows: pa.Table) -> Model:
-        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        return fit_texts(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("y").to_numpy())
+    def run(rows: list[tuple]) -> Model:
+        return fit_texts([r[1] for r in rows], np.array([r[2] for r in rows]))
 
     return fit_in_task(training_sample(docs, labels, **sample), run) or fit_texts([], np.zeros(0))
 
