@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.llm.common import materialize, mix64
+from varloom.llm.common import frugal, materialize, mix64
 from varloom.session import ship
 
 DEGREE = 16
@@ -268,7 +268,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF, bloc
                     top = np.arange(len(r)) - np.searchsorted(r, r) < k
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a + r[top]]), pa.array(cand[top]), pa.array(sc[top])], ["query_id", "vec_id", "score"])
 
-    return tasks.select("shard", "q_ids", "q_vecs", "graph").mapInArrow(run, "query_id long, vec_id long, score double")
+    return tasks.select("shard", "q_ids", "q_vecs", "graph").mapInArrow(frugal(run), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:

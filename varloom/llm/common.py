@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import pickle
 import shutil
 import tempfile
@@ -97,7 +99,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> obje
         rows.clear()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    got = [r for r in sample.repartition(1).mapInArrow(run, "model binary").collect()]
+    got = [r for r in sample.repartition(1).mapInArrow(frugal(run), "model binary").collect()]
     models = [m for m in (pickle.loads(bytes(r[0])) for r in got) if m is not None]
     return models[0] if models else None
 
@@ -113,6 +115,28 @@ def ascii_lower(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- Arrow batches
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and would hold it beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A ``mapInArrow`` function that trims its worker's memory when its partition ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def text_rows(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets (n + 1) of a string array; a null is an empty text."""
     if isinstance(arr, pa.ChunkedArray):
@@ -177,7 +201,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POW.get("p")
     if have is None or len(have) < n:
-        size = max(1 << 18, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         inv = pow(_R, -1, 1 << 64)
         for name, base in (("p", _R), ("q", inv)):
             t = np.full(size, base, np.uint64)

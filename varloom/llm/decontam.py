@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import RunHash, lut, row_chunks, spans, text_rows
+from varloom.llm.common import RunHash, frugal, lut, row_chunks, spans, text_rows
 from varloom.session import ship
 
 _WORD = np.ones(256, bool)
@@ -155,7 +155,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     ["doc_id", "n_words", "n_hit", "n_items", "item_ids"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, item_ids array<string>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, item_ids array<string>")
 
 
 def clean_text(text: bytes, blocks: list) -> tuple[bytes, float]:
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     part = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def digest(item_ids: list[str]) -> str:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import lookup_join, materialize
+from varloom.llm.common import frugal, lookup_join, materialize
 from varloom.llm.url_filter import host_path
 from varloom.session import ship
 
@@ -205,7 +205,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.bool_(), pa.int8(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types, strict=True)], pa.array([got[k] for k in keys], pa.int64())], ["host", "node", "inside", "kind", "feature", "n"])
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, node long, inside boolean, kind tinyint, feature long, n long")
+    counts = pages.select("host", "html").mapInArrow(frugal(run), "host string, node long, inside boolean, kind tinyint, feature long, n long")
     return counts.groupBy("host", "node", "inside", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -249,4 +249,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = lookup_join(rows, cut, ["host"], max_rows=100_000, salt=F.struct("page_id", "url"))
-    return joined.select("page_id", "url", "html", "removed").mapInArrow(run, f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "removed").mapInArrow(frugal(run), f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long")

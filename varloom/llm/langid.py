@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import crc_fold, fit_in_task, row_chunks, text_rows
+from varloom.llm.common import crc_fold, fit_in_task, frugal, row_chunks, text_rows
 from varloom.session import ship
 
 WINDOW = 256
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             lang, score = predict_rows(held.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: Model | None, langs: list[str] | None = None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -232,4 +232,4 @@ def keep_languages(docs: DataFrame, model: Model | None, langs: list[str] | None
             lang, score = predict_rows(held.value, b.column(at))
             yield b.filter(pa.array([x != UNKNOWN and (wanted is None or x in wanted) and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

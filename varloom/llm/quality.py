@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.llm.common import RunHash, materialize, row_chunks, text_rows
+from varloom.llm.common import RunHash, frugal, materialize, row_chunks, text_rows
 from varloom.session import ship
 
 BUCKETS = 1 << 14
@@ -75,7 +75,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
 
-    got = docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(text_col).mapInArrow(frugal(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS)
     out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -104,7 +104,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
             imp = np.where(n > 0, scale * s / np.maximum(n, 1), -np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(imp)], ["doc_id", "n_grams", "importance"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_grams long, importance double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_grams long, importance double")
 
 
 def gumbel(seed: int):

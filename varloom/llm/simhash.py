@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import lookup_join, materialize
+from varloom.llm.common import frugal, lookup_join, materialize
 from varloom.session import ship
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = fingerprint_texts(b.column(1).cast(pa.binary()).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- BK-trees
@@ -248,7 +248,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_cap: int = SHARD_CAP, rows
         a, b = cell_forest(cell[multi], fp[multi], role[multi], radius)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return split.repartition(parts, "cell").mapInArrow(run, "a long, b long").distinct()
+    return split.repartition(parts, "cell").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- components

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import RunHash, crc_fold, fit_in_task, lut, row_chunks, spans, text_rows
+from varloom.llm.common import RunHash, crc_fold, fit_in_task, frugal, lut, row_chunks, spans, text_rows
 from varloom.session import ship
 
 _WORD = np.zeros(256, bool)
@@ -39,7 +39,7 @@ _LUT = lut(_WORD)
 PREFIXES = (4, 5, 6)
 CHUNK = 1 << 20
 UNTAUGHT = math.log(0.1 / 0.9)  # log-odds of every text when no label is known
-_BITS = 22
+_BITS = 20
 _MASK = np.uint64((1 << _BITS) - 1)
 
 
@@ -369,7 +369,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(b_model.value, b.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,7 +398,7 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                             text.append(part[t.starts[cut[i] + a] : t.ends[cut[i] + z - 1]].tobytes().decode())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(sc, pa.float64()), pa.array(ev, pa.float64()), pa.array(text, pa.string())], ["doc_id", "first_word", "last_word", "score", "e_value", "passage"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, first_word long, last_word long, score double, e_value double, passage string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, first_word long, last_word long, score double, e_value double, passage string")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -411,4 +411,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
         for b in batches:
             yield b.filter(pa.array(_score(model.value, b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import lookup_join, materialize, shared_path
+from varloom.llm.common import frugal, lookup_join, materialize, shared_path
 from varloom.session import ship
 
 MIN_BYTES = 1000
@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, le
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["path", "records"])
 
-    return materialize(rows.mapInArrow(run, "path string, records long"), "warc-manifest")
+    return materialize(rows.mapInArrow(frugal(run), "path string, records long"), "warc-manifest")
 
 
 # ---------------------------------------------------------------- normalising
@@ -209,7 +209,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 4, remove: bool = T
                 counts.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], ["path", "records"])
 
-    return materialize(_spread(manifest).mapInArrow(run, "path string, records long"), "warc-index")
+    return materialize(_spread(manifest).mapInArrow(frugal(run), "path string, records long"), "warc-index")
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in types.items()], list(types))
 
     names = {"page_id": "long", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"}
-    return _spread(index).mapInArrow(run, ", ".join(f"{k} {names[k]}" for k in types))
+    return _spread(index).mapInArrow(frugal(run), ", ".join(f"{k} {names[k]}" for k in types))
 
 
 def round_trip(pages: DataFrame, spark: SparkSession, min_bytes: int = MIN_BYTES, payload: bool = False) -> DataFrame:
