@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -33,6 +34,8 @@ def ship(spark: SparkSession) -> None:
     shared home folder nor an installed copy.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's default: batches this large live twice, in the JVM and in the worker
+        spark.conf.set(_BATCH, str(8 << 20))
     if getattr(sc, "_varloom_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="varloom-")
