@@ -61,6 +61,13 @@ def test_spark_source_and_sink(spark, tmp_path):
     assert back.where("chr = 2 and vidx >= 2 and vidx < 5").count() == 3
 
 
+def test_subset_folder(spark, tmp_path):
+    v = packed.pack_variants(fx.genotypes(spark, SF), 500)
+    out = str(tmp_path / "sub")
+    assert packed.subset_to(v.where("chr <= 2"), range(10), out).count() == 16
+    assert packed.subset_to(v, range(10), out).count() == 64
+
+
 VCF = """##fileformat=VCFv4.2
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc
 1\t100\tr1\tA\tG\t.\t.\t.\tGT:DP\t0/0:3\t0|1:4\t1/1:2
@@ -114,6 +121,11 @@ def test_tables(spark, tmp_path):
     assert tables.read_weights(spark, str(tmp_path / "w.npz")).count() == 2
     tables.write_table(w.withColumnRenamed("beta", "BETA"), str(tmp_path / "w.tsv.gz"), single=True)
     assert tables.read_weights(spark, str(tmp_path / "w.tsv.gz")).first().beta == 0.5
+    assert tables.read_indices(spark, [5, 2, 5]).where("sample_idx = 5").count() == 2
+    np.save(tmp_path / "i.npy", [3, 1])
+    assert [r.sample_idx for r in tables.read_indices(spark, str(tmp_path / "i.npy")).orderBy("new_idx").collect()] == [3, 1]
+    w.withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "cand" / "chr=7"))
+    assert tables.read_candidates(spark, str(tmp_path / "cand")).first().chr == 7
     assert convert.write_samples(str(tmp_path / "s"), ["x", "y"]).endswith(".samples.txt")
     (tmp_path / "k.txt").write_text("f1 f1\nf2\n\n")
     assert tables.read_keep(spark, str(tmp_path / "k.txt")).count() == 2

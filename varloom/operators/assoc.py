@@ -184,7 +184,7 @@ def binary_gwas(genotypes: DataFrame, null: DataFrame, min_mac: float = 20, spa_
     low = F.col("MAC") < min_mac
     flagged = ~low & (F.col("P_NORM") < spa_p) & (F.abs("Z") > spa_sd)
     todo = s.where(flagged).select("chr", "gidx", "mu_g", "U")
-    calls = genotypes.join(F.broadcast(todo), ["chr", "gidx"]).join(null.select("sample_idx", "chr", "eta"), ["sample_idx", "chr"]).select("chr", "gidx", "mu_g", "U", F.coalesce(valid(F.col("dosage")), F.lit(0.0)).alias("d"), "eta")
+    calls = genotypes.join(todo, ["chr", "gidx"]).join(null.select("sample_idx", "chr", "eta"), ["sample_idx", "chr"]).select("chr", "gidx", "mu_g", "U", F.coalesce(valid(F.col("dosage")), F.lit(0.0)).alias("d"), "eta")
 
     def spa(pdf: pd.DataFrame) -> pd.DataFrame:
         g = (pdf.d.to_numpy() - pdf.mu_g.iloc[0])[:, None]

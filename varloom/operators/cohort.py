@@ -101,12 +101,13 @@ def load_covariates(order: DataFrame, phe: DataFrame, cols: list[str]) -> DataFr
     return j.select(*order.columns, *[F.when(ok, F.col(c)).alias(c) for c in cols])
 
 
-def rank_in_order(df: DataFrame, order_col: str, name: str = "row") -> DataFrame:
-    """Dense 0-based ranks by a column, without one global sort in a task: rows are range-partitioned,
+def rank_in_order(df: DataFrame, order_col: str | list[str], name: str = "row") -> DataFrame:
+    """Dense 0-based ranks by one or more columns, without one global sort in a task: rows are range-partitioned,
     counted per range, and ranked inside it."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    r = df.repartitionByRange(n, order_col).withColumn("_p", F.spark_partition_id())
+    r = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
     r = r.persist()
     sizes = {x["_p"]: x["count"] for x in r.groupBy("_p").count().collect()}
     base, at = [], 0
@@ -114,5 +115,5 @@ def rank_in_order(df: DataFrame, order_col: str, name: str = "row") -> DataFrame
         base.append((p, at))
         at += sizes[p]
     starts = spark.createDataFrame(base or [(0, 0)], "_p int, _base long")
-    out = r.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order_col)) - 1).join(F.broadcast(starts), "_p")
+    out = r.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(starts), "_p")
     return out.withColumn(name, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")

@@ -297,7 +297,7 @@ def credible_prefix(rows: DataFrame, coverage: float = 0.95) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Spark
-OUT = "locus_id int, chr int, gidx long, MAF double, sel_freq double, ultralasso_pip double, susie_pip double, avg_beta double, h2_contribution double, in_susie_cs int, note string"
+OUT = "locus_id int, chr int, gidx long, MAF double, sel_freq double, lasso_pip double, susie_pip double, avg_beta double, h2_contribution double, in_susie_cs int, note string"
 
 
 def finemap(variants: DataFrame, loci: DataFrame, annotation: DataFrame, pheno: DataFrame, n_samples: int, tier: int = 2, effects: int = 10, coverage: float = 0.95, max_variants: int = 2000, level: int = 60, pairs: int = 50, n_lambda: int = 20, rounds: int = 3, weights: DataFrame | None = None, y_col: str = "y") -> tuple[DataFrame, DataFrame]:
@@ -337,7 +337,7 @@ def finemap(variants: DataFrame, loci: DataFrame, annotation: DataFrame, pheno:
             inside[cs["members"]] = 1
         beta = s.xty / np.maximum(np.diag(s.xtx), 1e-10)
         h2 = beta**2 * 2 * s.maf * (1 - s.maf) / max(s.var_y, 1e-300)
-        return pd.DataFrame({"locus_id": pdf.locus_id.iloc[0], "chr": c, "gidx": pdf.gidx, "MAF": s.maf, "sel_freq": freq, "ultralasso_pip": bma, "susie_pip": pips, "avg_beta": avg, "h2_contribution": h2, "in_susie_cs": inside, "note": ""})
+        return pd.DataFrame({"locus_id": pdf.locus_id.iloc[0], "chr": c, "gidx": pdf.gidx, "MAF": s.maf, "sel_freq": freq, "lasso_pip": bma, "susie_pip": pips, "avg_beta": avg, "h2_contribution": h2, "in_susie_cs": inside, "note": ""})
 
     got = rows.groupBy("locus_id").applyInPandas(one, OUT)
     per = consensus(got, level).drop("note").join(annotation.select("gidx", *[c for c in ("POS", "ID", "REF", "ALT") if c in annotation.columns]), "gidx", "left")

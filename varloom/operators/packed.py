@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,10 +203,24 @@ def subset_samples(variants: DataFrame, samples: list[int] | np.ndarray) -> Data
     return variants.select("chr", "gidx", "vidx", "n_samples", "packed").mapInArrow(run, SCHEMA)
 
 
+def subset_to(variants: DataFrame, samples: list[int] | np.ndarray, folder: str, skip_existing: bool = True) -> DataFrame:
+    """Subset all chromosomes into a folder partitioned by chr; chromosomes that are there already are left alone."""
+    spark = variants.sparkSession
+    todo = variants
+    if skip_existing:
+        try:
+            done = [r[0] for r in spark.read.parquet(folder).select("chr").distinct().collect()]
+        except AnalysisException:
+            done = []
+        todo = variants.where(~F.col("chr").isin(*done)) if done else variants
+    subset_samples(todo, samples).write.mode("append").partitionBy("chr").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def recompute_stats(variants: DataFrame) -> DataFrame:
     """The packed rows with mu_x, sxx, maf computed anew: a repaired copy, the input stays as it is."""
     n = genotype_counts(variants).select("chr", "gidx", F.col("mu_x").alias("m"), F.col("sxx").alias("s"), F.col("maf").alias("f"))
     return variants.join(n, ["chr", "gidx"]).select("chr", "gidx", "vidx", "n_samples", F.col("m").alias("mu_x"), F.col("s").alias("sxx"), F.col("f").alias("maf"), "packed")
 
 
-__all__ = ["COUNTS", "SCHEMA", "genotype_counts", "linear_gwas", "pack_variants", "phenotype_vectors", "recompute_stats", "sample_counts", "score", "subset_samples", "unpack_variants", "variant_qc", "width"]
+__all__ = ["COUNTS", "SCHEMA", "genotype_counts", "linear_gwas", "pack_variants", "phenotype_vectors", "recompute_stats", "sample_counts", "score", "subset_samples", "subset_to", "unpack_variants", "variant_qc", "width"]

@@ -605,3 +605,59 @@ def train_val_union(s, d):
     prs.check_disjoint(p)
     both = p.where("split = 'train'").select("fid").union(p.where("split = 'val'").select("fid")).distinct()
     return both.select(F.lit("both").alias("split"), "fid")
+
+
+@query(ctes(more="sw AS (SELECT event_type, count(*) AS n, avg(value) AS val_full FROM events GROUP BY event_type)") + "SELECT arg_max(event_type, val_full) AS best FROM sw")
+def best_of_sweep(s, d):
+    """The setting with the largest metric, as the penalty sweep is decided."""
+    sw = s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("val_full"))
+    return sw.agg(F.max_by("event_type", "val_full").alias("best"))
+
+
+_H2 = "CASE WHEN beta IS NOT NULL THEN beta * beta * 2 * maf * (1 - maf) / (syy / n) END"
+
+
+@query(ctes("g", "st", "ph", "sig", more=_UNI) + f"SELECT chr, gidx, {r_(_H2, 'h2')} FROM un")
+def variance_explained(s, d):
+    """Each variant's share of the phenotype's variance, beta^2 * 2 f (1 - f) / var(y)."""
+    h2 = F.col("beta") * F.col("beta") * 2 * F.col("maf") * (1 - F.col("maf")) / (F.col("syy") / F.col("n"))
+    return rnd(_uni(s, d).select("chr", "gidx", h2.alias("h2")))
+
+
+@query(ctes("g", "st", "ph", "sig", more=_TOP) + f"SELECT chr, gidx, {r_('strength', 'strength')} FROM tk ORDER BY strength DESC, chr, gidx LIMIT 10")
+def candidates_capped(s, d):
+    return rnd(screen.cap(screen.with_strength(_uni(s, d)), 10).select("chr", "gidx", "strength"))
+
+
+@query(ctes("g", "st", "ph", "sig", more=_UNI + ", ch AS (SELECT *, CASE WHEN vidx < 4 THEN 0 ELSE 1 END AS chunk FROM un)") + "SELECT chr, chunk::INT AS chunk, count(*) AS n_variants FROM ch GROUP BY 1, 2")
+def screening_chunks(s, d):
+    """Variants of each chromosome's chunks at the edges n * i // k, after the screen's filter."""
+    (_, b), _ = screen.chunk_edges(8, 2)
+    u = _uni(s, d).withColumn("chunk", F.when(F.col("vidx") < b, 0).otherwise(1))
+    return u.groupBy("chr", "chunk").agg(F.count(F.lit(1)).alias("n_variants"))
+
+
+@query(ctes("g", "st", more="z AS (SELECT sample_idx, d, mu_x FROM g JOIN st USING (chr, gidx) WHERE gidx < 8)") + f"SELECT sample_idx, 1 AS pc, {r_('sum((coalesce(d, mu_x) - mu_x) * 0.25)', 'score')} FROM z GROUP BY sample_idx")
+def pc_project(s, d):
+    """Scores on given loadings (a constant quarter on eight variants)."""
+    g = fx.genotypes(s, d)
+    load = stats.variant_stats(g).where("gidx < 8").select("gidx", F.lit(1).alias("pc"), F.lit(0.25).alias("loading"), "mu_x")
+    return rnd(ld.pc_project(g, load))
+
+
+@query(ctes("g", more="o AS (SELECT sample_idx, row_number() OVER (ORDER BY sample_idx DESC) - 1 AS new_idx FROM (SELECT DISTINCT sample_idx FROM g WHERE sample_idx < 20))") + "SELECT new_idx AS sample_idx, chr, gidx, d::TINYINT AS dosage FROM g JOIN o USING (sample_idx)")
+def reindexed_samples(s, d):
+    """Twenty samples gathered in reverse order."""
+    order = s.range(20).select(F.col("id").alias("new_idx"), (19 - F.col("id")).alias("sample_idx"))
+    return subset.reindex_samples(fx.genotypes(s, d), order).select("sample_idx", "chr", "gidx", "dosage")
+
+
+@query(ctes("ss") + "SELECT CHR, POS, gidx FROM ss WHERE P < 5e-8 AND CHR IN (1, 6)")
+def significant_hits(s, d):
+    return loci.significant(fx.sumstats(s, d)).where(F.col("CHR").isin(1, 6)).select("CHR", "POS", "gidx")
+
+
+@query(ctes("g", "st") + "SELECT chr, gidx FROM st WHERE maf >= 0.2 AND sxx > 0")
+def screen_filter(s, d):
+    st = stats.variant_stats(fx.genotypes(s, d))
+    return st.where((F.col("maf") >= 0.2) & (F.col("sxx") > 0)).select("chr", "gidx")

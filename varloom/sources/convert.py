@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.functions.codec import pack
+from varloom.operators.cohort import rank_in_order
 from varloom.session import ship
 
 #: PLINK 1 two-bit codes to ours: 00 -> 0, 01 -> missing, 10 -> 1, 11 -> 2; its first sample is in the low bits.
@@ -57,13 +58,12 @@ def read_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     if min_ac is not None:
         v = v.where(F.aggregate("dose", F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) >= min_ac)
     v = v.withColumn("CHR", F.expr("try_cast(chrom AS INT)"))
-    v = v.withColumn("gidx", F.row_number().over(W.orderBy("CHR", "POS", "REF", "ALT", "ID")) - 1 + gidx_start) if gidx_start >= 0 else v
-    v = v.withColumn("gidx", F.col("gidx").cast("long"))
+    v = rank_in_order(v, ["CHR", "POS", "REF", "ALT", "ID"], "gidx").withColumn("gidx", (F.col("gidx") + gidx_start).cast("long"))
     ann = v.select("gidx", "CHR", "POS", "ID", "REF", "ALT")
     g = v.select(F.col("CHR").alias("chr"), "gidx", F.posexplode("dose").alias("s", "dosage")).select(F.col("s").cast("long").alias("sample_idx"), "chr", "gidx", "dosage")
     if keep is not None:
         samples = samples.join(keep.select("id"), "id", "left_semi").select("sample_idx", "id")
-        g = g.join(F.broadcast(samples.select("sample_idx")), "sample_idx", "left_semi")
+        g = g.join(samples.select("sample_idx"), "sample_idx", "left_semi")
     return g, ann, samples
 
 

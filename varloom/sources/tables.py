@@ -77,6 +77,26 @@ def read_keep(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("fid")).where("fid <> ''").distinct()
 
 
+def read_indices(spark: SparkSession, source, key: str | None = None) -> DataFrame:
+    """(new_idx, sample_idx) in the given order, from a DataFrame, a sequence, an .npy file, or (npz file, key)."""
+    if isinstance(source, DataFrame):
+        return source
+    if isinstance(source, tuple):
+        source, key = source
+    if isinstance(source, str):
+        z = np.load(source)
+        source = z[key] if key else z
+    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(source)], "new_idx long, sample_idx long")
+
+
+def read_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Screening candidates of all chromosome folders or files below a folder, with their chromosome."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    if "chr" in df.columns:
+        return df
+    return df.withColumn("chr", F.regexp_extract(F.input_file_name(), r"chr=?(\d+)", 1).cast("int"))
+
+
 def read_batch(spark: SparkSession, path: str) -> list[dict]:
     """A phenotype list: TSV with name, file, type (any case)."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path)
