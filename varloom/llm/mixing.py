@@ -85,7 +85,7 @@ def schedule(target: DataFrame, block: int = BLOCK) -> DataFrame:
     runs = runs.select("pos", "run", F.coalesce(F.sum("count").over(W.partitionBy("pos").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = slots.withColumn("k", F.row_number().over(W.partitionBy("pos", "run").orderBy("slot")) - 1).join(runs, ["pos", "run"]).select("slot", "pos", (F.col("base") + F.col("k")).cast("long").alias("rank"))
     blocks = t.select("pos", F.ceil(F.col("want") / block).cast("long").alias("blocks"))
-    kept = ranked.join(F.broadcast(blocks.where("blocks > 0")), "pos").where("rank < blocks").drop("blocks")
+    kept = lookup_join(ranked, blocks.where("blocks > 0"), ["pos"], "inner", salt=F.col("slot")).where("rank < blocks").drop("blocks")
     have = slots.groupBy("pos").count()
     short = blocks.join(have, "pos", "left").withColumn("have", F.coalesce("count", F.lit(0))).where("blocks > have")
     tail = short.select("pos", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("rank"))
