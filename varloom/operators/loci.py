@@ -16,16 +16,17 @@ def significant(sumstats: DataFrame, p_threshold: float = 5e-8) -> DataFrame:
     return s.where(F.col("CHR").isNotNull() & (F.col("P") < p_threshold)).select("CHR", F.col("POS").cast("long").alias("POS"), "gidx", F.col("ID").cast("string").alias("ID"), F.col("P").cast("double").alias("P"))
 
 
-def clump(hits: DataFrame, window: int = 1_000_000) -> DataFrame:
+def clump(hits: DataFrame, window: int = 1_000_000, islands_per_group: int = 64) -> DataFrame:
     """Leads: the best remaining hit takes all hits within ``window`` on its chromosome, again and again.
 
     Order is (P, POS, gidx). A chromosome's hits are first cut where two neighbours are more than ``window``
-    apart: no clump crosses such a gap, so each island of hits is a group of its own and a long chromosome is
-    not one task. Groups hold significant rows only.
+    apart: no clump crosses such a gap, so islands of hits are independent and a long chromosome is not one
+    task. Groups hold significant rows only.
     """
     w = W.partitionBy("CHR").orderBy("POS", "gidx")
     gap = (F.col("POS") - F.lag("POS").over(w) > window).cast("int")
-    isl = hits.withColumn("island", F.sum(F.coalesce(gap, F.lit(0))).over(w))
+    # some islands share a group, as each group costs a call
+    isl = hits.withColumn("island", F.floor(F.sum(F.coalesce(gap, F.lit(0))).over(w) / islands_per_group))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["P", "POS", "gidx"], kind="stable")
