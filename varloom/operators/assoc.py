@@ -195,10 +195,12 @@ def binary_gwas(genotypes: DataFrame, null: DataFrame, min_mac: float = 20, spa_
     j = s.join(tails, ["chr", "gidx"], "left")
     p = F.when(low, F.lit(float("nan"))).otherwise(F.coalesce("P_SPA", "P_NORM"))
     test = F.when(low, "LOW_MAC").when(F.col("P_SPA").isNotNull(), "SPA").otherwise("SCORE")
-    clipped = F.greatest(F.least(p, F.lit(1.0)), F.lit(MIN_P))
-    z = F.when(F.isnan(p), F.lit(float("nan"))).otherwise(F.signum("Z") * F.sqrt(chi2_isf_col(clipped)))
-    logp = F.when(F.isnan(p), F.lit(float("nan"))).otherwise(-F.log10(clipped))
-    return j.select("chr", "gidx", "BETA", "SE", z.alias("Z"), p.alias("P"), "MAF", "P_NORM", logp.alias("LOG10P"), test.alias("TEST"), "MAC", "MAC_CASE", "MAC_CTRL")
+    # named columns, as the quantile repeats its argument many times
+    j = j.withColumn("P", p).withColumn("_clip", F.greatest(F.least("P", F.lit(1.0)), F.lit(MIN_P)))
+    nan = F.lit(float("nan"))
+    z = F.when(F.isnan("P"), nan).otherwise(F.signum("Z") * F.sqrt(chi2_isf_col(F.col("_clip"))))
+    logp = F.when(F.isnan("P"), nan).otherwise(-F.log10("_clip"))
+    return j.select("chr", "gidx", "BETA", "SE", z.alias("Z"), "P", "MAF", "P_NORM", logp.alias("LOG10P"), test.alias("TEST"), "MAC", "MAC_CASE", "MAC_CTRL")
 
 
 def lambda_gc(sumstats: DataFrame, p_col: str = "P", z_col: str | None = None) -> DataFrame:
