@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, toxicity, SimHash near-dedup, decontamination, mixing.
+"""The corpus pipeline: language ID, toxicity, SimHash near-dedup, shingle near-dedup and decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; ``run`` writes each stage's
 result as Parquet to the shared folder and reads it again as the next one's documents. Every stage but the last
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import decontam, langid, mixing, simhash, toxicity
+from varloom.llm import decontam, langid, mixing, neardup, simhash, toxicity
 from varloom.llm.common import materialize
 from varloom.session import read
 
@@ -28,13 +28,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component."""
+    """Keeps the document with the smallest id of each near-duplicate component of op1's links (four bits)."""
     return simhash.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts; mostly contaminated documents go."""
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    """Drops the near-duplicates that op1's radius leaves (five-word shingles, similarity 0.8 or more), then cuts
+    benchmark passages out of the texts; mostly contaminated documents go."""
+    rest = materialize(neardup.deduplicate(docs), "pipeline-neardup")
+    return decontam.decontaminate(rest, read(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
