@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from varloom.llm import neardup
+from varloom.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +61,9 @@ def test_rows_and_ids(spark):
     got = neardup.deduplicate(docs_of(spark, [(3, t), (3, t), (7, t), (7, u), (None, t), (None, "solo text of no id"), (None, "solo text of no id")]).withColumn("x", F.lit(1)))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(3, t), (7, u), (None, "solo text of no id")], key=repr)
     assert neardup.deduplicate(docs_of(spark, [])).count() == 0
+
+
+def test_simhash_keeps_the_other_texts_of_a_clashing_id(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    got = simhash.deduplicate(docs_of(spark, [(3, t), (7, t), (7, u), (8, u), (9, v), (9, "another text of its own"), (9, v)]))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(3, t), (7, u), (9, v), (9, "another text of its own")])

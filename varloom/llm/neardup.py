@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import frugal, lookup_join, materialize, mix64
-from varloom.llm.simhash import _shingle_hashes, components
+from varloom.llm.simhash import _shingle_hashes, components, keep_one, row_key
 from varloom.session import ship
 
 WIDTH = 5
@@ -50,11 +50,6 @@ def bands(s: np.ndarray) -> np.ndarray:
     return mix64((low.reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A key of (id, text), nulls told apart from values."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
-
-
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63)
 
@@ -112,25 +107,6 @@ def links(tagged: DataFrame, rows: DataFrame, text_col: str = "text", percent: i
     return j.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def keep_one(tagged: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest id, and of repeated rows one.
-
-    ``tagged`` has the documents with their key ``_row``; ``rows`` has (row, doc_id, component), repeats included.
-    """
-    cols = [c for c in tagged.columns if c != "_row"]
-    many = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("w")).where("c > 1")
-    many = materialize(many.select("component", F.col("w.row").alias("winner")), "dedup-winners")
-    of = materialize(lookup_join(rows.select("row", "component"), many, ["component"], "inner", salt=F.col("row")), "dedup-members")
-    losers = materialize(of.where("row <> winner").select(F.col("row").alias("_row")).distinct(), "dedup-lost")
-    twice = materialize(of.where("row = winner").groupBy("row").count().where("count > 1").select(F.col("row").alias("_row")), "dedup-twice")
-    kept = lookup_join(tagged, losers, ["_row"], "left_anti")
-    if twice.limit(1).count():
-        single = lookup_join(kept, twice, ["_row"], "left_anti").select(*cols)
-        again = kept.join(twice, "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("r")).select("r.*")
-        return single.unionByName(again)
-    return kept.select(*cols)
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Keep the document with the smallest id of each component of texts at ``percent`` similarity or more."""
     ship(docs.sparkSession)

@@ -288,26 +288,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "fp", F.coalesce("label", "fp").alias("component"), F.when(F.col("label").isNotNull(), F.col("cid")).otherwise(F.coalesce("own", "doc_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
-    """Keep one document of each component: that with the smallest id (of repeated rows, one)."""
-    cols = docs.columns
-    nd = materialize(near_duplicates(docs, id_col, text_col, radius, width), "simhash-nd")
-    key = F.col(id_col).cast("long")
-    losers = materialize(nd.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "simhash-lost")
-    twice = materialize(nd.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "simhash-twice")
-    base = docs.where(F.col(id_col).isNotNull()).withColumn("_lost", key)
-    kept = lookup_join(base, losers, ["_lost"], "left_anti").drop("_lost")
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of (id, text), nulls told apart from values."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def keep_one(tagged: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of each component: that with the smallest id, and of repeated rows one.
+
+    ``tagged`` has the documents with their key ``_row``; ``rows`` has (row, doc_id, component), repeats included.
+    """
+    cols = [c for c in tagged.columns if c != "_row"]
+    many = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("w")).where("c > 1")
+    many = materialize(many.select("component", F.col("w.row").alias("winner")), "simhash-winners")
+    of = materialize(lookup_join(rows.select("row", "component"), many, ["component"], "inner", salt=F.col("row")), "simhash-members")
+    losers = materialize(of.where("row <> winner").select(F.col("row").alias("_row")).distinct(), "simhash-lost")
+    twice = materialize(of.where("row = winner").groupBy("row").count().where("count > 1").select(F.col("row").alias("_row")), "simhash-twice")
+    kept = lookup_join(tagged, losers, ["_row"], "left_anti")
     if twice.limit(1).count():
-        single = lookup_join(kept.withColumn("_twice", key), twice, ["_twice"], "left_anti").drop("_twice")
-        again = kept.withColumn("_twice", key).join(twice, "_twice", "left_semi").groupBy("_twice").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("r")).select("r.*")
-        kept = single.unionByName(again)
-    # documents without an id: one for each component that no document with an id represents
-    bare = nd.where("doc_id is null and component_id is null").select("component").distinct()
-    if bare.limit(1).count():
-        nulls = materialize(docs.where(F.col(id_col).isNull()), "simhash-null")
-        tagged = fingerprints(nulls.withColumn("_row", F.xxhash64(text_col)), "_row", text_col, width).distinct().withColumnRenamed("doc_id", "_row")
-        labels = nd.where("doc_id is null").select("fp", "component", "component_id").distinct().where("component_id is null")
-        one = tagged.join(labels, "fp").groupBy("component").agg(F.min("_row").alias("_row"))
-        pick = nulls.withColumn("_row", F.xxhash64(text_col)).join(one, "_row").groupBy("_row").agg(F.first(F.struct(*cols)).alias("r")).select("r.*")
-        kept = kept.unionByName(pick)
+        single = lookup_join(kept, twice, ["_row"], "left_anti").select(*cols)
+        again = kept.join(twice, "_row", "left_semi").groupBy("_row").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("r")).select("r.*")
+        return single.unionByName(again)
     return kept.select(*cols)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
+    """Keep one document of each component: that with the smallest id (of repeated rows, one).
+
+    Rows are told apart by id and text, so that an id that repeats with different texts loses none of them.
+    """
+    tagged = docs.withColumn("_row", row_key(id_col, text_col))
+    nd = materialize(near_duplicates(tagged, "_row", text_col, radius, width).select(F.col("doc_id").alias("row"), "component").distinct(), "simhash-nd")
+    ids = tagged.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return keep_one(tagged, materialize(ids.join(nd, "row"), "simhash-named"))
