@@ -9,11 +9,12 @@ texts) over the m pages that have it. A node's importance is
 * presentation: the entropy -sum p log_m p of its presentation styles,
 
 combined as (1 - g^l) * presentation + g^l * content for l presentation styles (g = 0.9), as in the site
-style tree method. A branch is removed from each page when its node's importance is low against the rest
-of its site, or when its own tag, class, id or role names boilerplate (navigation, page header, footer,
+style tree method. A branch's composite importance is the largest of its node and all nodes below it, on any page
+of the host, so that nothing unique goes with a repeated container. A branch is removed from each page when its
+composite importance is low, or when its own tag, class, id or role names boilerplate (navigation, page header, footer,
 sidebar, notice, advert, form, comments): a site with few pages has too little evidence for entropy alone.
-Where a page has an ``article`` or ``main`` element, text outside of it is removed too, and branches inside
-it need a far lower importance to go.
+Where a page has an ``article`` or ``main`` element, text outside of it is removed too, and inside it only
+branches that name boilerplate go, however much the rest repeats.
 
 Two passes over the html: one emits counts (pre-aggregated per batch), one applies the removals. Counts are
 aggregated by (host, node, feature) before (host, node), so a host with a third of all pages is spread
@@ -42,7 +43,7 @@ from varloom.llm.url_filter import host_path
 from varloom.session import ship
 
 GAMMA = 0.9
-LOW, LOW_INSIDE = 0.3, 0.05
+LOW = 0.3
 MIN_PAGES = 8
 
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|canvas|object|select|option|audio|video"
@@ -162,7 +163,7 @@ class Page:
     def text(self, removed: frozenset[int] | set[int] = frozenset()) -> str:
         out = []
         for path, t, inside in self.blocks:
-            if (self.main and not inside) or (removed and _gone(path, removed)):
+            if not inside and (self.main or (removed and _gone(path, removed))):
                 continue
             out.append(t)
         return "\n".join(out)
@@ -172,17 +173,20 @@ def _h(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode()) - (1 << 63)
 
 
-def _gone(path: str, removed: set[int]) -> bool:
+def _above(path: str) -> Iterator[int]:
+    """Hashes of the nodes above a path."""
     at = path.find(">", 1)
     while at != -1:
-        if _h(path[:at]) in removed:
-            return True
+        yield _h(path[:at])
         at = path.find(">", at + 1)
-    return _h(path) in removed
+
+
+def _gone(path: str, removed: set[int]) -> bool:
+    return any(h in removed for h in _above(path)) or _h(path) in removed
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """host, node, inside, kind (0 page, 1 content, 2 presentation), feature, n: pages of the host that have it."""
+    """host, node, inside, kind (0 page, 1 content, 2 presentation, 3 a node below), feature, n: pages of the host that have it."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +203,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                         one.add((host, h, inside, 1, _h(t)))
                         one.add((host, h, inside, 0, 0))
                         one.add((host, h, inside, 2, _h("|".join(p.children.get(path, ())))))
+                        one.update((host, up, inside, 3, h) for up in _above(path))
                 got.update(one)
             keys = list(got)
             cols = list(zip(*keys, strict=True)) if keys else [[]] * 5
@@ -213,7 +218,7 @@ def importance(counts: DataFrame) -> DataFrame:
     """host, node, inside, pages, importance of every style node."""
     k = F.col("kind")
     nlogn = F.col("n") * F.log(F.col("n").cast("double"))
-    a = counts.groupBy("host", "node", "inside").agg(
+    a = counts.where(k < 3).groupBy("host", "node", "inside").agg(
         F.sum(F.when(k == 0, F.col("n"))).alias("m"),
         F.sum(F.when(k == 1, F.col("n"))).alias("c"),
         F.sum(F.when(k == 1, nlogn)).alias("cl"),
@@ -228,20 +233,29 @@ def importance(counts: DataFrame) -> DataFrame:
     return a.select("host", "node", "inside", F.col("m").alias("pages"), F.greatest((1 - g) * shape + g * content, F.lit(0.0)).alias("importance"))
 
 
-def removals(imp: DataFrame, low: float = LOW, low_inside: float = LOW_INSIDE, min_pages: int = MIN_PAGES) -> DataFrame:
+def composite(counts: DataFrame, imp: DataFrame) -> DataFrame:
+    """The same with the importance of a node's whole branch: the largest of its own and those of all nodes below."""
+    below = counts.where("kind = 3").select("host", "node", F.col("feature").alias("below")).distinct()
+    of = imp.groupBy("host", F.col("node").alias("below")).agg(F.max("importance").alias("i"))
+    branch = below.join(of, ["host", "below"]).groupBy("host", "node").agg(F.max("i").alias("branch"))
+    return imp.join(branch, ["host", "node"], "left").select("host", "node", "inside", "pages", F.greatest("importance", "branch").alias("importance"))
+
+
+def removals(imp: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, removed: the style nodes to remove, for hosts that have any. A site all of whose nodes repeat keeps them."""
     best = imp.groupBy("host").agg(F.max("importance").alias("best"))
-    cut = F.when(F.col("inside"), low_inside).otherwise(low)
-    bad = imp.join(best, "host").where((F.col("pages") >= min_pages) & (F.col("importance") < cut) & (F.col("best") >= 0.5))
+    bad = imp.join(best, "host").where(~F.col("inside") & (F.col("pages") >= min_pages) & (F.col("importance") < low) & (F.col("best") >= 0.5))
     return bad.groupBy("host").agg(F.collect_set("node").alias("removed"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, low_inside: float = LOW_INSIDE, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     ship(pages.sparkSession)
     host, _ = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    cut = materialize(removals(importance(style_counts(rows)), low, low_inside, min_pages), "html-removals")
+    counts = materialize(style_counts(rows), "html-counts")
+    imp = materialize(importance(counts), "html-importance")
+    cut = materialize(removals(composite(counts, imp), low, min_pages), "html-removals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
