@@ -527,6 +527,18 @@ def king(s, d):
     return rnd(ld.king(fx.genotypes(s, d).where("sample_idx < 60")))
 
 
+@query()
+def grm_all(s, d):
+    """Relationships among all samples; ``grm`` is their first batch, as its SQL has it."""
+    return rnd(ld.grm_blocked(fx.genotypes(s, d)))
+
+
+@query()
+def king_all(s, d):
+    """Kinship of all pairs of samples; ``king`` is their first batch, as its SQL has it."""
+    return rnd(ld.king_blocked(fx.genotypes(s, d)))
+
+
 @query()
 def pca(s, d):
     return ld.pca(fx.genotypes(s, d), k=3)[0]
