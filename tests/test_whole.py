@@ -1,10 +1,14 @@
 """Queries over whole tables against brute force."""
 
+import inspect
+
 import numpy as np
+import pytest
 from conftest import SF
 
 from varloom import fixtures as fx
-from varloom.operators import ld
+from varloom.operators import lasso, ld, prs, screen
+from varloom.plans import config
 from varloom.registry import QUERIES
 
 
@@ -31,3 +35,18 @@ def test_relatedness_of_all_samples(spark):
     for whole, pairs in ((ld.grm_blocked, ld.grm), (ld.king_blocked, ld.king)):
         rows = [sorted((r[0], r[1], None if r[2] is None else round(r[2], 9)) for r in df.collect()) for df in (whole(few, 8, 7), pairs(few))]
         assert [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]] and np.allclose(*[[np.nan if r[2] is None else r[2] for r in x] for x in rows], equal_nan=True)
+
+
+def test_candidates_are_not_cut_silently(spark, monkeypatch):
+    j = config.DEFAULTS["joint_lasso"]
+    cand = spark.range(8003).selectExpr("1 as chr", "id as gidx", "double(id) as strength")
+    assert screen.cap(cand, j["max_snps"]).count() == 8003
+    assert inspect.signature(prs.prs).parameters["max_snps"].default == 44_000
+    g, ph = fx.genotypes(spark, SF), fx.phenotypes_sig(spark, SF)
+    with pytest.raises(ValueError, match="more than 8000"):
+        lasso.joint_lasso(g, cand, ph, y_col="y_sig", max_features=j["max_features"])
+    few = g.select("chr", "gidx").distinct()
+    one = lasso.joint_lasso(g, few, ph, y_col="y_sig", covariates=["age"])
+    monkeypatch.setattr(lasso, "SLAB_BYTES", 8 * 65 * 7)  # seven rows a slab
+    cut = lasso.joint_lasso(g, few, ph, y_col="y_sig", covariates=["age"])
+    assert one.n == cut.n == 500 and np.allclose(one.gram, cut.gram) and np.allclose(one.coef_norm, cut.coef_norm)

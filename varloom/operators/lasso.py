@@ -14,6 +14,7 @@ from varloom.operators.linalg import fista, ridge_solve
 from varloom.operators.stats import valid
 
 MAX_FEATURES = 8000  # a dense Gram matrix of this size is 512 MB
+SLAB_BYTES = 64 << 20  # of a Gram matrix in one row
 
 
 @dataclass
@@ -50,9 +51,10 @@ def design_rows(genotypes: DataFrame, cand: DataFrame, pheno: DataFrame, y_col:
 
 
 def sufficient(rows: DataFrame, gidx: np.ndarray, n_cov: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int]:
-    """X'X, X'y, column sums, sum y, sum y^2, n: each task adds up its samples and emits one matrix."""
+    """X'X, X'y, column sums, sum y, sum y^2, n: each task adds up its samples and emits one matrix, in slabs of rows."""
     p = len(gidx) + n_cov
     order = np.sort(gidx)
+    slab = max(SLAB_BYTES // (8 * max(p, 1)), 1)
 
     def run(batches):
         a, b, s, y1, y2, n = np.zeros((p, p)), np.zeros(p), np.zeros(p), 0.0, 0.0, 0
@@ -74,14 +76,18 @@ def sufficient(rows: DataFrame, gidx: np.ndarray, n_cov: int) -> tuple[np.ndarra
                 s += m.sum(0)
                 y1, y2, n = y1 + y.sum(), y2 + y @ y, n + len(y)
         if n:
-            yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()], "s": [s.tobytes()], "y1": [y1], "y2": [y2], "n": [n]})
+            for at in range(0, max(p, 1), slab):  # a matrix of 16,384 columns and more doesn't fit one value
+                first = at == 0
+                yield pa.RecordBatch.from_pydict({"at": [at], "a": [a[at : at + slab].tobytes()], "b": [b.tobytes() if first else b""], "s": [s.tobytes() if first else b""], "y1": [y1 if first else 0.0], "y2": [y2 if first else 0.0], "n": [n if first else 0]})
 
     a, b, s, y1, y2, n = np.zeros((p, p)), np.zeros(p), np.zeros(p), 0.0, 0.0, 0
-    parts = rows.select("y", "cov", "x").mapInArrow(run, "a binary, b binary, s binary, y1 double, y2 double, n long")
-    for r in parts.toLocalIterator():  # one p-square matrix at a time
-        a += np.frombuffer(bytes(r.a)).reshape(p, p)
-        b += np.frombuffer(bytes(r.b))
-        s += np.frombuffer(bytes(r.s))
+    parts = rows.select("y", "cov", "x").mapInArrow(run, "at long, a binary, b binary, s binary, y1 double, y2 double, n long")
+    for r in parts.toLocalIterator():  # one task's matrix at a time
+        rows_of = np.frombuffer(bytes(r.a)).reshape(-1, p)
+        a[r["at"] : r["at"] + len(rows_of)] += rows_of
+        if r["at"] == 0:
+            b += np.frombuffer(bytes(r.b))
+            s += np.frombuffer(bytes(r.s))
         y1, y2, n = y1 + r.y1, y2 + r.y2, n + r.n
     return a, b, s, y1, y2, n
 

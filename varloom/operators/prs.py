@@ -125,11 +125,11 @@ class Prs:
     metrics: DataFrame
 
 
-def sweep(genotypes: DataFrame, cand: DataFrame, data: DataFrame, alphas=ALPHAS, covariates: list[str] = ()) -> DataFrame:
+def sweep(genotypes: DataFrame, cand: DataFrame, data: DataFrame, alphas=ALPHAS, covariates: list[str] = (), max_features: int = lasso.MAX_FEATURES) -> DataFrame:
     """alpha, n_active, val_cov, val_full, val_increment: one Gram matrix for all penalties, skipping empty fits."""
     spark = genotypes.sparkSession
     train = data.where("split = 'train'")
-    fit = lasso.joint_lasso(keep_samples(genotypes, train), cand, train, alphas[0], "resid")
+    fit = lasso.joint_lasso(keep_samples(genotypes, train), cand, train, alphas[0], "resid", max_features=max_features)
     stats = variant_stats(keep_samples(genotypes, train)).select("gidx", "mu_x")
     val = data.where("split = 'val'")
     calls = keep_samples(genotypes, val).join(F.broadcast(cand.select("gidx").distinct()), "gidx").persist()
@@ -146,18 +146,21 @@ def sweep(genotypes: DataFrame, cand: DataFrame, data: DataFrame, alphas=ALPHAS,
     return spark.createDataFrame(out, "alpha double, n_active int, val_cov double, val_full double, val_increment double")
 
 
-def prs(genotypes: DataFrame, data: DataFrame, alphas=ALPHAS, covariates: list[str] = (), screen_alpha: float | None = None, binary: bool = False, max_snps: int = 8000, window_size: int = 8192, maf_min: float = 1e-2) -> Prs:
-    """Screen on train, sweep on val, refit on train + val, score test."""
+def prs(genotypes: DataFrame, data: DataFrame, alphas=ALPHAS, covariates: list[str] = (), screen_alpha: float | None = None, binary: bool = False, max_snps: int | None = 44_000, window_size: int = 8192, maf_min: float = 1e-2, max_features: int = lasso.MAX_FEATURES) -> Prs:
+    """Screen on train, sweep on val, refit on train + val, score test.
+
+    More than ``max_features`` candidates are an error, not a silent cut; ``max_snps`` cuts to the strongest.
+    """
     if binary and screen_alpha is None:
         raise ValueError("a binary trait needs an explicit screening penalty")
     # the sweep and the refit read both again and again
     genotypes, data = genotypes.persist(), data.persist()
     train = data.where("split = 'train'")
     cand = cap(screen(keep_samples(genotypes, train), train, alpha=screen_alpha or 6e-4, y_col="resid", window_size=window_size, maf_min=maf_min), max_snps).persist()
-    sw = sweep(genotypes, cand, data, alphas, covariates)
+    sw = sweep(genotypes, cand, data, alphas, covariates, max_features)
     best = select_alpha(sw)
     both = data.where("split in ('train', 'val')")
-    fit = lasso.joint_lasso(keep_samples(genotypes, both), cand, both, best, "resid")
+    fit = lasso.joint_lasso(keep_samples(genotypes, both), cand, both, best, "resid", max_features=max_features)
     w = fit.table(genotypes.sparkSession).where("step3_active").select("gidx", "beta")
     stats = variant_stats(keep_samples(genotypes, both)).select("gidx", "mu_x")
     s = score(genotypes, w, stats=stats)

@@ -14,7 +14,7 @@ DEFAULTS: dict[str, Any] = {
     "covariates": {"columns": ["age", "sex", *[f"PC{i}" for i in range(1, 11)]]},
     "screening": {"run": True, "window_size": 8192, "top_pct": 20.0, "maf_min": 1e-3, "strength": "r2_se", "split_chrs": ["1:11", "12:22"], "split_chrs_by": [2, 1], "default_chunks": 1},
     "local_lasso": {"alpha": 6e-4, "max_iter": 1000},
-    "joint_lasso": {"run": True, "alpha": 6e-3, "ridge": 1e-2, "max_iter": 2000, "loco_mode": "ols", "precomputed_loco": None, "max_snps": 8000, "max_snps_rank_by": "strength"},
+    "joint_lasso": {"run": True, "alpha": 6e-3, "ridge": 1e-2, "max_iter": 2000, "loco_mode": "ols", "precomputed_loco": None, "max_snps": None, "max_features": 8000, "max_snps_rank_by": "strength"},
     "gwas": {"run": True, "test": "wald", "family": "linear", "maf_min": 1e-3, "min_mac": 20.0, "spa_p": 0.05, "spa_sd": 2.0, "variants": None, "annotation": None},
     "loci": {"run": True, "p_threshold": 5e-8, "window_kb": 500, "merge_overlapping": True, "clump_window": 1_000_000, "max_loci": None},
     "finemapping": {"run": True, "tier": 1, "n_signals": 10, "coverage": 0.95, "max_variants": 2000, "weights": "z", "gamma": 1.0, "lasso_cs_level": 50, "pairs": 50, "n_lambda": 20, "top_loci": None},

@@ -95,7 +95,7 @@ class Run:
         if j["precomputed_loco"]:
             return self.spark.read.parquet(j["precomputed_loco"])
         g = packed.unpack_variants(self.variants.join(F.broadcast(cand.select("chr", "gidx")), ["chr", "gidx"], "left_semi"))
-        fit = lasso.joint_lasso(g, cand, co, j["alpha"], "y_original", self.covariates, j["max_iter"])
+        fit = lasso.joint_lasso(g, cand, co, j["alpha"], "y_original", self.covariates, j["max_iter"], j["max_features"])
         if self.cfg["output"]["active_set"]:
             fit.table(self.spark).write.mode("overwrite").parquet(os.path.join(self.dir, "active_set"))
         chrs = [r[0] for r in self.variants.select("chr").distinct().collect()]
