@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 
 from varloom import fixtures as fx
-from varloom.operators import lasso, ld, prs, screen
+from varloom.operators import finemap, lasso, ld, packed, prs, screen
 from varloom.plans import config
 from varloom.registry import QUERIES
 
@@ -50,3 +50,16 @@ def test_candidates_are_not_cut_silently(spark, monkeypatch):
     monkeypatch.setattr(lasso, "SLAB_BYTES", 8 * 65 * 7)  # seven rows a slab
     cut = lasso.joint_lasso(g, few, ph, y_col="y_sig", covariates=["age"])
     assert one.n == cut.n == 500 and np.allclose(one.gram, cut.gram) and np.allclose(one.coef_norm, cut.coef_norm)
+
+
+def test_a_locus_of_over_2000_variants_is_fine_mapped(spark):
+    assert config.DEFAULTS["finemapping"]["max_variants"] == 15_000
+    p, n = 2001, 40
+    d = np.random.default_rng(4).integers(0, 3, (p, n))
+    g = spark.createDataFrame([(s, 1, v, int(d[v, s])) for v in range(p) for s in range(n)], "sample_idx long, chr int, gidx long, dosage byte")
+    y = spark.createDataFrame([(s, float(3 * d[7, s] + s % 2)) for s in range(n)], "sample_idx long, y double")
+    ann = spark.range(p).selectExpr("id as gidx", "1 as CHR", "1000 + id as POS")
+    loci = spark.createDataFrame([(1, 1, 0, 10_000)], "locus_id int, CHR int, start_bp long, end_bp long")
+    per, summary = finemap.finemap(packed.pack_variants(g, n), loci, ann, y, n, tier=1)
+    assert per.count() == p and per.orderBy("susie_pip", ascending=False).first().gidx == 7
+    assert [r.locus_status != "Skipped" for r in summary.collect()] == [True]

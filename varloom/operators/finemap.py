@@ -300,7 +300,7 @@ def credible_prefix(rows: DataFrame, coverage: float = 0.95) -> DataFrame:
 OUT = "locus_id int, chr int, gidx long, MAF double, sel_freq double, lasso_pip double, susie_pip double, avg_beta double, h2_contribution double, in_susie_cs int, note string"
 
 
-def finemap(variants: DataFrame, loci: DataFrame, annotation: DataFrame, pheno: DataFrame, n_samples: int, tier: int = 2, effects: int = 10, coverage: float = 0.95, max_variants: int = 2000, level: int = 60, pairs: int = 50, n_lambda: int = 20, rounds: int = 3, weights: DataFrame | None = None, y_col: str = "y") -> tuple[DataFrame, DataFrame]:
+def finemap(variants: DataFrame, loci: DataFrame, annotation: DataFrame, pheno: DataFrame, n_samples: int, tier: int = 2, effects: int = 10, coverage: float = 0.95, max_variants: int = 15_000, level: int = 60, pairs: int = 50, n_lambda: int = 20, rounds: int = 3, weights: DataFrame | None = None, y_col: str = "y") -> tuple[DataFrame, DataFrame]:
     """(per variant, per locus): tier 1 is SuSiE alone, tier 2 adds stability selection, averaging and consensus.
 
     pheno has (sample_idx, y) or (sample_idx, chr, y) residuals.

@@ -17,7 +17,7 @@ DEFAULTS: dict[str, Any] = {
     "joint_lasso": {"run": True, "alpha": 6e-3, "ridge": 1e-2, "max_iter": 2000, "loco_mode": "ols", "precomputed_loco": None, "max_snps": None, "max_features": 8000, "max_snps_rank_by": "strength"},
     "gwas": {"run": True, "test": "wald", "family": "linear", "maf_min": 1e-3, "min_mac": 20.0, "spa_p": 0.05, "spa_sd": 2.0, "variants": None, "annotation": None},
     "loci": {"run": True, "p_threshold": 5e-8, "window_kb": 500, "merge_overlapping": True, "clump_window": 1_000_000, "max_loci": None},
-    "finemapping": {"run": True, "tier": 1, "n_signals": 10, "coverage": 0.95, "max_variants": 2000, "weights": "z", "gamma": 1.0, "lasso_cs_level": 50, "pairs": 50, "n_lambda": 20, "top_loci": None},
+    "finemapping": {"run": True, "tier": 1, "n_signals": 10, "coverage": 0.95, "max_variants": 15000, "weights": "z", "gamma": 1.0, "lasso_cs_level": 50, "pairs": 50, "n_lambda": 20, "top_loci": None},
     "qc": {"variant": False, "sample": False, "maf_min": None, "max_missing": None, "hwe_min": None, "sample_max_missing": None},
     "output": {"sumstats": True, "loco": False, "active_set": True, "finemapping": True, "plots": True, "format": "parquet"},
 }
