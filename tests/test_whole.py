@@ -63,3 +63,16 @@ def test_a_locus_of_over_2000_variants_is_fine_mapped(spark):
     per, summary = finemap.finemap(packed.pack_variants(g, n), loci, ann, y, n, tier=1)
     assert per.count() == p and per.orderBy("susie_pip", ascending=False).first().gidx == 7
     assert [r.locus_status != "Skipped" for r in summary.collect()] == [True]
+
+
+def test_hits_and_samples_are_whole(spark):
+    ss = fx.sumstats(spark, SF).toPandas()
+    hits = ss[ss.P < 5e-8]
+    got = QUERIES["significant_hits_all"](spark, SF).toPandas()
+    assert sorted(got.gidx) == sorted(hits.gidx) and set(got.CHR) == set(hits.CHR) and got.CHR.nunique() > 2
+    g = fx.genotypes(spark, SF).toPandas()
+    top = g.sample_idx.max()
+    got = QUERIES["reindexed_samples_all"](spark, SF).toPandas()
+    got["sample_idx"] = top - got.sample_idx
+    key = ["sample_idx", "chr", "gidx"]
+    assert got.sort_values(key).reset_index(drop=True).equals(g[got.columns].sort_values(key).reset_index(drop=True).astype(got.dtypes))

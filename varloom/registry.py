@@ -664,11 +664,25 @@ def reindexed_samples(s, d):
     return subset.reindex_samples(fx.genotypes(s, d), order).select("sample_idx", "chr", "gidx", "dosage")
 
 
+@query(ctes("g", more="o AS (SELECT sample_idx, row_number() OVER (ORDER BY sample_idx DESC) - 1 AS new_idx FROM (SELECT DISTINCT sample_idx FROM g))") + "SELECT new_idx AS sample_idx, chr, gidx, d::TINYINT AS dosage FROM g JOIN o USING (sample_idx)")
+def reindexed_samples_all(s, d):
+    """The full sample list in reverse order; ``reindexed_samples`` has twenty, as its SQL does."""
+    g = fx.genotypes(s, d)
+    order = g.select("sample_idx").distinct().select("sample_idx", (F.row_number().over(W.orderBy(F.desc("sample_idx"))) - 1).cast("long").alias("new_idx"))
+    return subset.reindex_samples(g, order).select("sample_idx", "chr", "gidx", "dosage")
+
+
 @query(ctes("ss") + "SELECT CHR, POS, gidx FROM ss WHERE P < 5e-8 AND CHR IN (1, 6)")
 def significant_hits(s, d):
     return loci.significant(fx.sumstats(s, d)).where(F.col("CHR").isin(1, 6)).select("CHR", "POS", "gidx")
 
 
+@query(ctes("ss") + "SELECT CHR, POS, gidx FROM ss WHERE P < 5e-8")
+def significant_hits_all(s, d):
+    """Hits of all chromosomes; ``significant_hits`` has two of them, as its SQL does."""
+    return loci.significant(fx.sumstats(s, d)).select("CHR", "POS", "gidx")
+
+
 @query(ctes("g", "st") + "SELECT chr, gidx FROM st WHERE maf >= 0.2 AND sxx > 0")
 def screen_filter(s, d):
     st = stats.variant_stats(fx.genotypes(s, d))
