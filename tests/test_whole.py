@@ -76,3 +76,14 @@ def test_hits_and_samples_are_whole(spark):
     got["sample_idx"] = top - got.sample_idx
     key = ["sample_idx", "chr", "gidx"]
     assert got.sort_values(key).reset_index(drop=True).equals(g[got.columns].sort_values(key).reset_index(drop=True).astype(got.dtypes))
+
+
+def test_consensus_runs_the_operator_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(finemap, "finemap", lambda *a, **k: seen.append(k) or (None, None))
+    QUERIES["finemap_consensus"](spark, SF)
+    assert not {"pairs", "n_lambda"} & set(seen[0])
+    monkeypatch.undo()
+    d = inspect.signature(finemap.finemap).parameters
+    assert (d["pairs"].default, d["n_lambda"].default) == (50, 20)
+    assert QUERIES["finemap_consensus"](spark, SF).where("sel_freq > 0").count() > 0

@@ -498,7 +498,7 @@ def finemap_susie(s, d):
 @query()
 def finemap_consensus(s, d):
     v, p, n = _packed_sig(s, d)
-    return finemap.finemap(v, _sig_loci(s), fx.annotation(s, d), p, n, pairs=10, n_lambda=8)[0]
+    return finemap.finemap(v, _sig_loci(s), fx.annotation(s, d), p, n)[0]
 
 
 # ---------------------------------------------------------------- relatedness and LD
