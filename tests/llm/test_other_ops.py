@@ -61,7 +61,9 @@ def test_site_style_tree_removes_what_repeats(spark):
 
 
 def test_importance_by_hand(spark):
-    c = spark.createDataFrame([("h", 1, False, 0, 0, 4), ("h", 1, False, 1, 11, 4), ("h", 1, False, 2, 5, 4), ("h", 2, False, 0, 0, 4), *[("h", 2, False, 1, 20 + i, 1) for i in range(4)], ("h", 2, False, 2, 5, 4)], "host string, node long, inside boolean, kind int, feature long, n long")
+    u = html_extract._UNIT
+    rows = [(1, 0, 0, 4), (1, 1, 11, 4), (1, 2, 5, 4), (2, 0, 0, 4), *[(2, 1, 20 + i, 1) for i in range(4)], (2, 2, 5, 4)]
+    c = spark.createDataFrame([("h", node, kind, feature, n * u) for node, kind, feature, n in rows], "host string, node long, kind int, feature long, n long")
     got = {r.node: r.importance for r in html_extract.importance(c).collect()}
     assert got[1] == pytest.approx(0) and got[2] == pytest.approx(0.9)
 
