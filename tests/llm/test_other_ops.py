@@ -196,12 +196,44 @@ def test_schedule_is_low_discrepancy(spark):
         assert s[s.pos == p]["rank"].tolist() == list(range(int((s.pos == p).sum())))
 
 
-def test_blocks_cover_the_stream(spark):
-    sizes = spark.createDataFrame([(i, "a" if i % 3 else "b", i % 50) for i in range(200)], "doc_id long, source string, size long")
-    b = mixing.blocks_of(mixing.streams(sizes), 16).toPandas()
-    assert b.groupby("doc_id").words.sum().to_dict() == {i: i % 50 for i in range(200) if i % 50}
-    full = b.groupby(["source", "rank"]).words.sum()
-    assert (full.groupby("source").apply(lambda x: (x.iloc[:-1] == 16).all())).all()
+def test_taken_comes_from_the_slots(spark):
+    """Words taken against the definition: a stream of repeated documents, cut at the target."""
+    import hashlib
+
+    rows = [(i, " ".join(["w"] * (i % 50)), "a" if i % 3 else "b") for i in range(200)] + [(7, "x y z", "a"), (None, "q " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, block=16).toPandas()
+    want = []
+    for src in {r[2] for r in rows}:
+        mine = sorted(((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i, len((t or "").split())) for i, t, x in rows if x == src))
+        target = got[got.source == src if src is not None else got.source.isna()].target.iloc[0]
+        left, total, taken = int(target + 1e-6), sum(n for *_, n in mine), [0] * len(mine)
+        at = 0
+        while left and total:
+            k = min(mine[at % len(mine)][2], left)
+            taken[at % len(mine)] += k
+            left, at = left - k, at + 1
+        want += [(str(src), i, n, k) for (_, i, n), k in zip(mine, taken, strict=True)]
+    mine = [(str(None if r.source != r.source or r.source is None else r.source), -1 if r.doc_id != r.doc_id else int(r.doc_id), int(r.size), int(r.taken)) for r in got.rename(columns={"size": "size"}).itertuples()]
+    assert sorted(mine) == sorted(want)
+    assert got[got.taken > 0].first_slot.notna().all()
+
+
+def test_mixed_text_is_the_mix(spark):
+    texts = {i: f"  \u00fcber {i}\n" + " ".join(f"w{j}\t" for j in range(i % 37)) + " end " for i in range(150)}
+    docs = spark.createDataFrame([(i, t, f"s{i % 4}" if i % 5 else "s0") for i, t in texts.items()] + [(900, None, "s1"), (901, " \n ", "s1")], "doc_id long, text string, source string")
+    for c in ("pos", "block", "words", "slot", "a", "cum", "_s", "_key"):
+        docs = docs.withColumn(c, F.lit(1))
+    mix, counts = mixing.mixed_text(docs, block=16).toPandas(), mixing.mix(docs, block=16).toPandas()
+    assert mix.groupby("doc_id").words.sum().to_dict() == counts[counts.taken > 0].set_index("doc_id").taken.to_dict()
+    assert all(len(t.split()) == n for t, n in zip(mix.text, mix.words, strict=True))
+    assert (mix.groupby("slot").words.sum().sort_index().iloc[:-1] <= 16).all() and mix.groupby("slot").source.nunique().max() == 1
+    assert mix.groupby("doc_id").slot.min().to_dict() == counts[counts.taken > 0].set_index("doc_id").first_slot.astype(int).to_dict()
+    for i, group in mix.groupby("doc_id"):  # the pieces of a whole copy add up to the text
+        copy = group.sort_values("at").drop_duplicates("start")
+        if copy.words.sum() == len(texts[i].split()):
+            assert "".join(copy.text) == texts[i]
+
 
 
 # ---------------------------------------------------------------- nearest neighbours

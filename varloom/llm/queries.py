@@ -140,11 +140,14 @@ bk AS (SELECT pos, (want + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks FROM
 have AS (SELECT pos, blocks, coalesce(c, 0) AS have FROM bk LEFT JOIN (SELECT pos, count(*) AS c FROM rk GROUP BY pos) USING (pos)),
 tail AS (SELECT pos, unnest(range(have, blocks)) AS rank FROM have WHERE blocks > have),
 plan AS (SELECT slot, pos, rank FROM rk JOIN bk USING (pos) WHERE rank < blocks UNION ALL SELECT row_number() OVER (ORDER BY rank, pos) - 1 + (SELECT n FROM n), pos, rank FROM tail),
-c AS (SELECT doc_id, size, source_size, target, want, pos, sum(size) OVER (PARTITION BY pos ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM z JOIN tw ON z.source IS NOT DISTINCT FROM tw.source),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END AS ep FROM c),
-k AS (SELECT *, (ep * size + greatest(0, least(cum + size, want - ep * source_size) - cum))::BIGINT AS taken FROM e)
-SELECT doc_id, size, source_size, round(target, 6) AS target, taken, plan.slot AS first_slot
-FROM k LEFT JOIN plan ON plan.pos = k.pos AND plan.rank = CASE WHEN taken > 0 THEN cum // {mixing.BLOCK} END
+shuf AS (SELECT pos, block, row_number() OVER (PARTITION BY pos ORDER BY md5(pos::VARCHAR || ':' || block::VARCHAR), block) - 1 AS rank FROM (SELECT pos, unnest(range(0, blocks)) AS block FROM bk)),
+placed AS (SELECT pos, block, slot FROM plan JOIN shuf USING (pos, rank)),
+c AS (SELECT row_number() OVER () AS row_id, doc_id, size, source_size, target, want, pos, sum(size) OVER (PARTITION BY pos ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS cum FROM z JOIN tw ON z.source IS NOT DISTINCT FROM tw.source),
+cp AS (SELECT *, cum + copy * source_size AS a, least(cum + copy * source_size + size, want) AS e FROM (SELECT *, unnest(range(0, (want - 1) // source_size + 1)) AS copy FROM c WHERE size > 0 AND want > 0)),
+pc AS (SELECT row_id, pos, block, least(e, (block + 1) * {mixing.BLOCK}) - greatest(a, block * {mixing.BLOCK}) AS words FROM (SELECT *, unnest(range((a // {mixing.BLOCK})::BIGINT, ((e - 1) // {mixing.BLOCK})::BIGINT + 1)) AS block FROM cp WHERE a < e)),
+k AS (SELECT row_id, sum(words) AS taken, min(slot) AS first_slot FROM pc JOIN placed USING (pos, block) GROUP BY row_id)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken, first_slot
+FROM c LEFT JOIN k USING (row_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
