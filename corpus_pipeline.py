@@ -40,8 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The source mix: how many words the training stream takes of each document, and where it enters."""
-    return mixing.mix(docs)
+    """The training stream: slots of equal-token blocks by source, each piece with its doc_id, place and text."""
+    return mixing.mixed_text(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
