@@ -12,7 +12,7 @@ import xxhash
 from conftest import SF, duck, rows_of
 from pyspark.sql import functions as F
 
-from varloom.llm import common, decontam, langid, quality, queries, simhash, toxicity
+from varloom.llm import common, decontam, langid, neardup, quality, queries, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,37 +82,110 @@ def test_majority_counts_long_groups():
     assert got[0] == sum(1 << b for b in range(64) if 2 * bits0[b] > 140_000) and got[1] == 0 and bits.sum() > 0
 
 
+def planted(r, n, groups):
+    """n random fingerprints and chains of near ones, distinct."""
+    base = r.integers(0, 1 << 64, groups, dtype=np.uint64)
+    near = [base]
+    for _ in range(6):
+        x = near[-1].copy()
+        for _ in range(3):
+            x ^= np.uint64(1) << r.integers(0, 64, groups).astype(np.uint64)
+        near.append(x)
+    return np.unique(np.concatenate([r.integers(0, 1 << 64, n, dtype=np.uint64), *near]))
+
+
+def brute_links(fp, radius=4):
+    return {(i, int(j)) for i, f in enumerate(fp) for j in np.flatnonzero(np.bitwise_count(fp ^ f) <= radius)}
+
+
 def test_bk_tree_finds_all_links():
-    r = np.random.default_rng(2)
-    base = r.integers(0, 1 << 64, 40, dtype=np.uint64)
-    fp = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << r.integers(0, 64, 40).astype(np.uint64)) for _ in range(6)]]))
-    cell = r.integers(0, 3, len(fp))
-    order = np.argsort(cell, kind="stable")
-    fp, cell = fp[order], cell[order]
-    tree = simhash.bk_build(fp, cell)
-    q, n = simhash.bk_search(tree, fp, fp, cell, 4)
-    want = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if cell[i] == cell[j] and int(fp[i] ^ fp[j]).bit_count() <= 4}
-    assert set(zip(q.tolist(), n.tolist(), strict=True)) == want
-    # every edge's key is the distance of child and parent
-    for k, child in zip(tree[0], tree[1], strict=True):
-        assert int(fp[k // 65] ^ fp[child]).bit_count() == k % 65
-
-
-def test_hot_shards_are_split_without_loss(spark):
-    r = np.random.default_rng(3)
-    # all share their low blocks, so that one shard holds everything
-    fp = (r.integers(0, 1 << 20, 400, dtype=np.uint64) << np.uint64(44)) | np.uint64(12345)
-    fp = np.unique(np.concatenate([fp, fp ^ (np.uint64(3) << np.uint64(50))]))
-    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    comp = simhash.components(simhash.links(df, shard_cap=64)).collect()
+    fp = planted(np.random.default_rng(2), 12_000, 400)
+    tree = simhash.Tree.build(fp)
+    got = [(q, n) for q, n in tree.search(fp, 4)]
+    found = {*zip(np.concatenate([q for q, _ in got]).tolist(), np.concatenate([n for _, n in got]).tolist(), strict=True)}
+    assert found == brute_links(fp)
+    assert tree.visited < 0.25 * len(fp) ** 2  # edges outside the radius aren't followed
+    # every edge's key is the distance of child and parent, and every node but the root hangs somewhere
+    assert all(int(fp[k // 65] ^ fp[c]).bit_count() == k % 65 for k, c in zip(tree.key.tolist(), tree.kid.tolist(), strict=True))
+    assert sorted(tree.kid.tolist()) == list(range(1, len(fp)))
+    assert list(simhash.Tree.build(fp[:1]).search(fp[:1], 4))[0][0].tolist() == [0]
+
+
+@pytest.mark.parametrize("n", [1, 5_000, 10**5, 10**8, 10**10, 10**13])
+def test_routes_share_a_shard_within_the_radius(n):
+    r = np.random.default_rng(4)
+    tables = simhash.routes(n)
+    fp = r.integers(0, 1 << 64, 300, dtype=np.uint64)
+    near = fp.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)
+    same = np.zeros(300, bool)
+    for k, fields in enumerate(tables):
+        assert all(0 <= at and at + w <= 64 for at, w in fields)
+        same |= simhash._shards_of(fp, k, fields) == simhash._shards_of(near, k, fields)
+    assert same.all()
+
+
+def check_components(comp, fp):
     label = {x.node % (1 << 64): x.label for x in comp}
-    want = brute_components(list(range(len(fp))), fp)
+    want = list(range(len(fp)))
+    for i, j in brute_links(fp):
+        a, b = want[i], want[j]
+        if a != b:
+            want = [min(a, b) if x == max(a, b) else x for x in want] if len(fp) < 3000 else want
+    if len(fp) >= 3000:  # union-find for the large case
+        up = list(range(len(fp)))
+
+        def top(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for i, j in brute_links(fp):
+            up[top(i)] = top(j)
+        want = [top(i) for i in range(len(fp))]
     seen = {}
     for i, f in enumerate(fp.tolist()):
         seen.setdefault(want[i], set()).add(label.get(f, f))
     assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
 
 
+@pytest.mark.parametrize("how", [{}, {"group_bytes": 30_000, "max_groups": 10**6}, {"max_groups": 0}])
+def test_deep_trees_in_broadcasts_and_shuffles(spark, how):
+    fp = planted(np.random.default_rng(6), 24_000, 900)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    assert len(simhash.routes(len(fp))) > 1
+    check_components(simhash.components(simhash.links(df, **how)).collect(), fp)
+
+
+@pytest.mark.parametrize("max_groups", [16, 0])
+def test_hot_shards_are_split_without_loss(spark, max_groups):
+    r = np.random.default_rng(3)
+    # all share their low blocks, so that one shard holds everything
+    fp = (r.integers(0, 1 << 20, 400, dtype=np.uint64) << np.uint64(44)) | np.uint64(12345)
+    fp = np.unique(np.concatenate([fp, fp ^ (np.uint64(3) << np.uint64(50))]))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    check_components(simhash.components(simhash.links(df, tree=32, max_groups=max_groups)).collect(), fp)
+
+
+def test_components_with_hubs(spark):
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 650)] + [(640, 199), (900, 901)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    want = {**{i: 0 for i in range(200)}, **{i: 0 for i in range(500, 650)}, 900: 900, 901: 900}
+    assert {r.node: r.label for r in simhash.components(e, hub=20).collect()} == want
+
+
+def test_deduplicate_any_ids_and_clashing_names(spark):
+    d = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), (None, "else"), ("c", "else"), ("c", "else")], "doc_id string, text string")
+    for c in ("row", "doc", "fp", "component", "winner", "_row", "_lost", "_twice", "node", "label"):
+        d = d.withColumn(c, F.lit("x"))
+    for f in (simhash.deduplicate, neardup.deduplicate):
+        got = f(d)
+        assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == ["a", "c"]
+    assert sorted(r.component_id for r in simhash.near_duplicates(d).collect()) == ["a", "a", "c", "c", "c"]
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(e).collect()}
