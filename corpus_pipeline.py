@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, toxicity, SimHash near-dedup, shingle near-dedup and decontamination, mixing.
+"""The corpus pipeline: language ID, toxicity, SimHash near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; ``run`` writes each stage's
 result as Parquet to the shared folder and reads it again as the next one's documents. Every stage but the last
@@ -12,14 +12,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import decontam, langid, mixing, neardup, simhash, toxicity
+from varloom.llm import decontam, langid, mixing, neardup, toxicity
 from varloom.llm.common import materialize
 from varloom.session import read
 
 
+#: Language ID keeps documents whose best language has at least this probability.
+MIN_SCORE = 0.3
+#: Decontamination removes a document when more than this share of its words was hit.
+MAX_SHARE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled rows teach; texts without a letter go."""
-    return langid.keep_languages(docs, langid.fit(docs))
+    return langid.keep_languages(docs, langid.fit(docs), min_score=MIN_SCORE)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +34,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component of op1's links (four bits)."""
-    return simhash.deduplicate(docs)
+    """Keeps the document with the smallest id of each group of near-duplicates: SimHash links of five-word shingles and
+    min-hash candidates beyond SimHash's radius, all verified at a shingle similarity of 0.8 or more."""
+    return neardup.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the near-duplicates that op1's radius leaves (five-word shingles, similarity 0.8 or more), then cuts
-    benchmark passages out of the texts; mostly contaminated documents go."""
-    rest = materialize(neardup.deduplicate(docs), "pipeline-neardup")
-    return decontam.decontaminate(rest, read(spark, sf_dir, "benchmark"))
+    """Cuts benchmark passages out of the texts; documents with over half of their words hit go."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), max_share=MAX_SHARE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
