@@ -23,7 +23,7 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
 
-# ---------------------------------------------------------------- HTML
+# HTML
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -80,7 +80,7 @@ def test_html_of_the_tables(spark):
         assert got[r.page_id] == "\n".join(x for x in want if x)
 
 
-# ---------------------------------------------------------------- URLs
+# URLs
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.COM/en/7?x=1", "https://net/de/x", "ftp://x.example.net/de/81#f", "nohost", None, "http://org", "http://b.org/es/?q", "x://H:80?p", "://"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -111,7 +111,7 @@ def test_suffixes(spark):
     assert [tuple(r) for r in got] == [("co.uk", "b.co.uk"), ("org", "x.org"), ("localhost", "localhost"), ("", "")]
 
 
-# ---------------------------------------------------------------- WARC
+# WARC
 def test_round_trip(spark):
     big = "x" * 1500
     rows = [(1, "http://a/1", big), (5, "http://a/2", big), (3, "http://a/3", big), (4, "http://b/\n", "small"), (9, None, "small"), (6, "u", None), (None, "n", big), (7, "é", "é" * 999), (8, "z", "")]
@@ -149,7 +149,7 @@ def test_normaliser_makes_members(spark, tmp_path):
         warc.read_record(broken)
 
 
-# ---------------------------------------------------------------- mixing
+# mixing
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -236,7 +236,7 @@ def test_mixed_text_is_the_mix(spark):
 
 
 
-# ---------------------------------------------------------------- nearest neighbours
+# nearest neighbours
 def brute_nearest(vecs, queries_, k):
     out = {}
     for q in queries_:
@@ -289,7 +289,7 @@ def test_graph_is_connected_and_dumps():
     assert one.search(x[:2], 3)[0].tolist() == [[0, -1, -1], [0, -1, -1]]
 
 
-# ---------------------------------------------------------------- pipeline
+# pipeline
 def test_pipeline_against_its_parts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -26,7 +26,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# ---------------------------------------------------------------- SimHash
+# SimHash
 def brute_fp(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     if not w:
@@ -203,7 +203,7 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
-# ---------------------------------------------------------------- decontamination
+# decontamination
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -257,7 +257,7 @@ def test_decontamination_sql(spark):
     assert hashlib.sha256(b"").hexdigest() in set(got.items_sha256) or got.n_items.min() > 0
 
 
-# ---------------------------------------------------------------- language ID
+# language ID
 def test_language_id_held_out(spark):
     got = queries.op6_language_id(spark, SF.replace("0.001", "0.01")).toPandas()
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang").toPandas()
@@ -296,7 +296,7 @@ def test_windows_cover_whole_texts():
     assert [int((win[row == i][:, : langid.WINDOW] != 0).sum()) for i in range(4)] == [600, 0, 256, 1]
 
 
-# ---------------------------------------------------------------- toxicity
+# toxicity
 def brute_segments(s):
     """All maximal segments by the recursive definition: the best segment, then both sides of it."""
     best, at = 0, None
@@ -357,7 +357,7 @@ def test_rows_of_one_class_only():
     assert 0 <= toxicity._score(m, pa.array(["a b", None]))[0] < 0.5
 
 
-# ---------------------------------------------------------------- quality
+# quality
 def test_ngrams_against_loop():
     texts = ["One, two  two!!", "", "a_b c|d", "é ö"]
     data, offs = common.text_rows(pa.array(texts))
@@ -369,14 +369,55 @@ def test_ngrams_against_loop():
     assert list(same[0][same[1] == 0]) == list(same[0][same[1] == 1])
 
 
-@pytest.mark.parametrize("k", [0, 1, 5, 77, 299, 300, 400])
+@pytest.mark.parametrize("k", [0, 1, 5, 77, 180, 299, 300, 400])
 def test_top_k_is_exact(spark, k):
     r = np.random.default_rng(7)
-    keys = np.concatenate([r.normal(size=150), np.full(100, 0.25), r.normal(size=40) * 1e9, np.full(10, -np.inf)])
-    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(keys)], "doc_id long, key double")
+    keys = np.concatenate([r.normal(size=150), np.full(100, 0.25), r.normal(size=40) * 1e9, np.full(10, -5e-324)])
+    df = spark.createDataFrame([(i, float(x), (i // 60 << 33) + i % 60) for i, x in enumerate(keys)], "doc_id long, key double, place long")
     got = {x.doc_id for x in quality.top_k(df, k).where("selected").collect()}
-    want = {int(i) for i in np.lexsort((np.arange(300), -keys))[:k]}
-    assert got == want
+    assert got == {int(i) for i in np.lexsort((np.arange(300), -keys))[:k]}
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_top_k_of_repeated_and_blank_rows(spark, ids):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    same = spark.range(12_000).select(F.lit(7).cast(ids).alias("doc_id"), F.lit("a b c").alias("text"))
+    blank = spark.range(14_000).select(F.lit(None).cast(ids).alias("doc_id"), F.lit(" ").alias("text"))
+    for docs in (same, blank):
+        got = quality.select(docs, labels, share=0.1)
+        assert got.where("selected").count() == docs.count() // 10
+    both = quality.select(same.unionByName(blank), labels, share=0.5).where("selected").groupBy("n_grams").count().collect()
+    assert {r.n_grams: r["count"] for r in both} == {5: 12_000, 0: 1_000}
+
+
+def test_quality_against_brute_force(spark):
+    """The whole result: models, likelihood ratios, noise and the k largest keys."""
+    import math
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "a1", "x,", "$$", "buy!", "now"][: 4 if i % 3 else 7]) for _ in range(rng.randint(0, 30))) for i in range(120)] + [None, "", "the"]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.select(docs, labels, temper=0.7).collect()}
+
+    def grams(t):
+        w = re.findall(r"[A-Za-z0-9_\x80-\U0010ffff]+|[^A-Za-z0-9_\x80-\U0010ffff \t\n\r\f\v]+", t or "")
+        h = [int(common.run_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0][0]) for x in w]
+        two = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:])]
+        return [x % quality.BUCKETS for x in h] + [(x ^ (x >> 29)) % quality.BUCKETS for x in two]
+
+    of = [grams(t) for t in texts]
+    raw, target = [1.0] * quality.BUCKETS, [1.0] * quality.BUCKETS
+    for i, g in enumerate(of):
+        for x in g:
+            raw[x] += 1
+            target[x] += i < 120 and i % 2 == 0 and i % 3 > 0
+    want = {i: 0.7 * sum(math.log(target[x] / sum(target)) - math.log(raw[x] / sum(raw)) for x in g) if g else -math.inf for i, g in enumerate(of)}
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(17).alias("g")).collect()}
+    for i, r in got.items():
+        assert r.n_grams == len(of[i]) and r.importance == pytest.approx(want[i], abs=1e-9)
+    order = sorted(got, key=lambda i: (not of[i], -(want[i] if of[i] else 0) - noise[i]))
+    assert {i for i, r in got.items() if r.selected} == set(order[: int(len(texts) * (40 / 60 + 0.03) + 0.5)])
 
 
 def test_quality_selects_the_good(spark):
@@ -397,3 +438,94 @@ def test_quality_edges(spark):
     assert set(got[got.selected].doc_id) == {0, 3} and np.isneginf(got[got.doc_id == 1].importance.iloc[0])
     assert quality.select(empty(spark), labels).count() == 0
     assert quality.select(docs_of(spark, ["a"]), labels.where("false")).first().selected
+
+
+# long texts
+def test_long_texts_in_parts_are_as_whole(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "de", "x" * 150, "\u00fcber", "f!", "idiot"]) for _ in range(700)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = np.array([0, len(data)])
+    # SimHash
+    flat = lambda size: [x for p in simhash._shingle_hashes(text, 4, size) for x in p]
+    assert flat(100) == flat(1 << 20) and len(flat(64)) == 697
+    # windows of a benchmark
+    words = decontam.item_words(text.decode())
+    win = decontam.Windows([("a", words[30:60]), ("b", words[200:212]), ("c", words[5:9]), ("d", words[-11:])], 10)
+    starts, ends, _, hit, items = decontam._scan(data, whole, [win])
+    for size in (64, 300, 5000):
+        n, h, found, ranges = decontam.scan_text(data, [win], 10, size)
+        assert (n, h, found) == (len(starts), int(hit.sum()), items[0]) and ranges == decontam._ranges(starts, ends, hit)
+    # toxic segments
+    texts = [b"you idiot fool", b"nice day today", b"idiot and fool you", b"good work friend"] * 30
+    model = toxicity.fit_texts([t + b" %d" % i for i, t in enumerate(texts)], np.array([1, 0] * 60))
+    n, found, at = toxicity.long_segments(model, data, 64)
+    (m, same), *_ = list(toxicity.doc_segments(model, toxicity.Tokens.of(data, whole), 1))
+    assert n == m and [x[:2] for x in found] == [x[:2] for x in same] and np.allclose([x[2] for x in found], [x[2] for x in same]) and found
+    # n-grams and windows of bytes
+    g0, _ = quality.ngrams(data, whole)
+    lang = langid.fit_texts([b"the cat sat", b"der Hund lief"] * 20, ["en", "de"] * 20, epochs=2)
+    p0 = langid.predict_rows(lang, pa.array([text.decode()]))
+    monkeypatch.setattr(quality, "CHUNK", 200)
+    monkeypatch.setattr(langid, "CHUNK", 512)
+    parts = [g for *_, g, _ in quality._chunks(data, whole)]
+    assert len(parts) > 5 and sorted(np.concatenate(parts).tolist()) == sorted(g0.tolist())
+    p1 = langid.predict_rows(lang, pa.array([text.decode()]))
+    assert p0[0] == p1[0] and np.allclose(p0[1], p1[1])
+
+
+def test_run_hashes_of_any_length(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 123, 3000).astype(np.uint8)
+    starts, ends = np.array([0, 10, 700, 2900]), np.array([5, 650, 2890, 3000])
+    want = common.run_hashes(data, starts, ends, np.minimum(starts + 4, ends))
+    monkeypatch.setattr(common, "_SPAN", 64)
+    monkeypatch.setattr(common, "_POW", [])
+    got = common.run_hashes(data, starts, ends, np.minimum(starts + 4, ends))
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_a_big_benchmark_and_a_long_text_in_bounded_memory():
+    """In a process of its own: 32 MB of benchmark and a 100 MB text."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, random
+import numpy as np
+from varloom.llm import decontam
+r = random.Random(1)
+words = ["w%d" % r.randrange(10**6) for _ in range(600_000)]
+block = 0
+text = b" ".join(w.encode() for w in words)
+for items in decontam.blocks_of(((str(i), " ".join(words[i * 100 : i * 100 + 100])) for i in range(6000) for _ in range(8)), 10, decontam.BLOCK_BYTES):
+    win = decontam.Windows(items, 10)
+    block = max(block, win.nbytes)
+big = np.frombuffer(text * (100_000_000 // len(text)), np.uint8)
+n, h, found, ranges = decontam.scan_text(big, [win])
+assert n > 10_000_000 and 0 < h <= n and found
+print(block >> 20, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True)
+    block, peak = map(int, out.stdout.split())
+    assert block < 96 and peak < 900
+
+
+@pytest.mark.parametrize("name", ["toxicity", "langid", "decontam", "quality", "simhash"])
+def test_three_megabytes_through_spark(spark, name):
+    text = ("the quick brown fox jumps over the lazy dog and runs far away " * 50_000)[:3_000_000]
+    docs = docs_of(spark, [text, "short text", None])
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int")
+    if name == "toxicity":
+        got = toxicity.score(docs, toxicity.fit(docs, labels))
+    elif name == "langid":
+        got = langid.predict(docs, langid.fit(docs))
+    elif name == "decontam":
+        b = spark.createDataFrame([("a", "fox jumps over the lazy dog and runs far away the quick")], "item_id string, text string")
+        got = decontam.scan(docs, b)
+        assert {r.doc_id: r.n_words for r in got.collect()} == {0: len(text.split()), 1: 2, 2: 0}
+    elif name == "quality":
+        got = quality.select(docs, labels, share=0.9)
+    else:
+        got = simhash.near_duplicates(docs)
+        assert next(r.fp for r in got.collect() if r.doc_id == 0) % (1 << 64) == brute_fp(text)
+    assert got.count() == 3

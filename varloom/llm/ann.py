@@ -39,7 +39,7 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 
 
-# ---------------------------------------------------------------- one shard's graph
+# one shard's graph
 def _levels(n: int) -> np.ndarray:
     """Geometric levels from a hash of the position: reruns build the same graph."""
     u = (mix64(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
@@ -192,7 +192,7 @@ class Graph:
         return beam[:, :want], sims[:, :want]
 
 
-# ---------------------------------------------------------------- Spark
+# Spark
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     ok = F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)

@@ -19,17 +19,21 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow table (ids, hashes) that may be broadcast: about 32 MB at 32 bytes a row.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of its files beyond which a lookup table isn't broadcast, however few its rows.
+BROADCAST_BYTES = 32 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-# ---------------------------------------------------------------- shared folder
+# shared folder
 def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Folder that every executor sees: spark.checkpoint.dir; a temporary one only on a local master where it is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="varloom-ckpt-")
         sc.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -65,14 +69,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salt: Column | None = None, salts: int = 16) -> DataFrame:
-    """Join a wide table with a narrow, materialised lookup table.
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes on disk of a materialised table, read back whole; None for others."""
+    path = getattr(df, "_varloom_path", None)
+    if path is None:
+        return None
+    hp = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hp).getLength()
 
-    The lookup is counted first. Up to ``max_rows`` rows it is broadcast; beyond, both sides are
-    shuffled, and with ``salt`` given the lookup is repeated over the salts so a hot key is split.
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salt: Column | None = None, salts: int = 16, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a wide table with a narrow lookup table.
+
+    The lookup is counted first, and a materialised one also measured. Up to ``max_rows`` rows and ``max_bytes`` of
+    (compressed) files it is broadcast; beyond, both sides are shuffled, and with ``salt`` given the lookup is
+    repeated over the salts so a hot key is split.
     """
     n = small.count()
-    if n <= max_rows:
+    if n <= max_rows and (stored_bytes(small) or 0) <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     if salt is None or how not in ("left", "inner", "left_anti", "left_semi"):
         return big.join(small, on, how)
@@ -81,6 +95,13 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
 
+def within(sample: DataFrame, max_bytes: int) -> DataFrame:
+    """At most about ``max_bytes`` of the distinct rows (doc_id, text, ...), by a hash of both: an id with many texts is cut too."""
+    size = sample.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    grain = 1 << 30
+    return sample if size <= max_bytes else sample.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(grain)) < int(grain * max_bytes / size))
+
+
 def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
     """Fit a model on a bounded sample inside one task, so that neither its rows nor its arrays burden the driver.
 
@@ -104,7 +125,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> obje
     return models[0] if models else None
 
 
-# ---------------------------------------------------------------- columns
+# columns
 def crc_fold(id_col: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
@@ -114,7 +135,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
-# ---------------------------------------------------------------- Arrow batches
+# Arrow batches
 def trim() -> None:
     """Give freed memory back to the system: workers are reused, and would hold it beside the next task's."""
     gc.collect()
@@ -194,20 +215,36 @@ def spans(cls: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+def cuts(word: np.ndarray, data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``size`` that cover a text and end at separators (``word`` tells word bytes); a longer word stays whole."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(a + size, n)
+        if b < n:
+            gap = np.flatnonzero(~word[data[a:b]])
+            if len(gap):
+                b = a + int(gap[-1]) + 1
+            else:
+                while b < n and word[data[b]]:
+                    more = np.flatnonzero(~word[data[b : b + size]])
+                    b = b + int(more[0]) if len(more) else min(b + size, n)
+        yield a, b
+        a = b
+
+
 _R = 0x9E3779B97F4A7C15 | 1
-_POW: dict[str, np.ndarray] = {}
+_SPAN = 1 << 20
+_POW: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POW.get("p")
-    if have is None or len(have) < n:
-        size = -(-n // (1 << 18)) << 18
-        inv = pow(_R, -1, 1 << 64)
-        for name, base in (("p", _R), ("q", inv)):
-            t = np.full(size, base, np.uint64)
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse over one window: 16 MB, whatever the texts."""
+    if not _POW:
+        for base in (_R, pow(_R, -1, 1 << 64)):
+            t = np.full(_SPAN + 1, base, np.uint64)
             t[0] = 1
-            _POW[name] = np.multiply.accumulate(t)
-    return _POW["p"], _POW["q"]
+            _POW.append(np.multiply.accumulate(t))
+    return _POW
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -216,14 +253,32 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class RunHash:
-    """64-bit hashes of byte ranges of a buffer from one prefix sum, equal for equal bytes anywhere."""
+def run_hashes(cls: np.ndarray, starts: np.ndarray, ends: np.ndarray, *shorter: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of ascending byte ranges, equal for equal bytes anywhere, by prefix sums over windows of bounded length.
 
-    def __init__(self, cls: np.ndarray):
-        p, self.q = _powers(len(cls) + 1)
-        self.sum = np.zeros(len(cls) + 1, np.uint64)
-        np.cumsum((cls.astype(np.uint64) + np.uint64(1)) * p[: len(cls)], out=self.sum[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sum[ends] - self.sum[starts]) * self.q[starts]
-        return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    Each of ``shorter`` gives other ends, none beyond ``ends``, for further hashes from the same starts.
+    """
+    p, q = _powers()
+    stops = [ends, *shorter]
+    out = [np.empty(len(starts), np.uint64) for _ in stops]
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + _SPAN, side="right"))
+        if j > i:
+            c = cls[lo : int(ends[j - 1])]
+            total = np.zeros(len(c) + 1, np.uint64)
+            np.cumsum((c.astype(np.uint64) + np.uint64(1)) * p[: len(c)], out=total[1:])
+            a = starts[i:j] - lo
+            for o, e in zip(out, stops, strict=True):
+                o[i:j] = (total[e[i:j] - lo] - total[a]) * q[a]
+        else:  # one range longer than a window, piece by piece
+            j = i + 1
+            for o, e in zip(out, stops, strict=True):
+                h = 0
+                for at in range(lo, int(e[i]), _SPAN):
+                    c = cls[at : min(at + _SPAN, int(e[i]))].astype(np.uint64) + np.uint64(1)
+                    h += int((c * p[: len(c)]).sum(dtype=np.uint64)) * pow(_R, at - lo, 1 << 64)
+                o[i] = h & ((1 << 64) - 1)
+        i = j
+    return [mix64(o ^ ((e - starts).astype(np.uint64) << np.uint64(56))) for o, e in zip(out, stops, strict=True)]

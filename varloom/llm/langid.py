@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import crc_fold, fit_in_task, frugal, row_chunks, text_rows
+from varloom.llm.common import crc_fold, fit_in_task, frugal, row_chunks, text_rows, within
 from varloom.session import ship
 
 WINDOW = 256
@@ -38,6 +38,11 @@ CHUNK = 1 << 20
 _BATCH = 48  # windows at once in prediction: their filter maps stay in cache
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (a number such as one half is none)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -88,6 +93,20 @@ def windows_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return win, row
 
 
+def _parts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and rows of some texts, of a long one a megabyte at a time."""
+    if len(offs) > 2 or len(data) <= CHUNK:
+        if len(data):
+            yield windows_of(data, offs)
+        return
+    step = CHUNK // WINDOW * WINDOW
+    for a in range(0, len(data), step):
+        part = data[a : a + step + SPAN - 1]  # with the bytes that the last window's filters reach
+        win, row = windows_of(part, np.array([0, len(part)]))
+        k = -(-min(step, len(data) - a) // WINDOW)
+        yield win[:k], row[:k]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -163,7 +182,7 @@ def fit_texts(texts: list[bytes], langs: list[str], epochs: int = 12, per_doc: i
 def predict_rows(model: Model | None, arr: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a string array."""
     texts = arr.to_pylist()
-    letter = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+    letter = np.array([bool(t) and has_letter(t) for t in texts], bool)
     if model is None:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     data, offs = text_rows(arr)
@@ -172,13 +191,12 @@ def predict_rows(model: Model | None, arr: pa.Array) -> tuple[list[str], np.ndar
     for lo, hi in row_chunks(offs, CHUNK):
         n = np.zeros(hi - lo)
         total = np.zeros((hi - lo, len(model.langs)))
-        win, row = windows_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        if len(win):
+        for win, row in _parts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
             z = model.window_logits(win).astype(np.float64)
             z -= z.max(1, keepdims=True)
             z -= np.log(np.exp(z).sum(1, keepdims=True))
             np.add.at(total, row, z)
-            n = np.bincount(row, minlength=hi - lo)
+            n += np.bincount(row, minlength=hi - lo)
         p = _softmax(total / np.maximum(n, 1)[:, None])
         best[lo:hi], score[lo:hi] = p.argmax(1), p.max(1)
     score[~letter] = 0.0
@@ -192,10 +210,7 @@ def training_sample(docs: DataFrame, max_docs: int = 4_000, max_bytes: int = 24
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(grain))
     n = ok.count()
     cut = grain if n <= max_docs else int(grain * max_docs / n)
-    size = ok.where(h < cut).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        cut = int(cut * max_bytes / size)
-    return ok.where(h < cut).select("doc_id", "text", "lang")
+    return within(ok.where(h < cut).select("doc_id", "text", "lang").distinct(), max_bytes)
 
 
 def fit(docs: DataFrame, **sample) -> Model | None:

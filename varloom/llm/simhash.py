@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import frugal, lookup_join, materialize
+from varloom.llm.common import cuts, frugal, lookup_join, materialize
 from varloom.session import ship
 
 RADIUS = 4
@@ -41,9 +41,11 @@ GROUP_BYTES = 8 << 20
 MAX_GROUPS = 16
 HUB = 100_000
 _HASH_CHUNK = 1 << 18
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-# ---------------------------------------------------------------- fingerprints
+# fingerprints
 def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprints of consecutive groups: bit set when set in over half of the group's hashes.
 
@@ -66,22 +68,29 @@ def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shingle_hashes(text: bytes | None, width: int) -> Iterator[list[int]]:
-    """XXH64 (seed 42) of every shingle, repeats included, in lists of bounded length."""
-    words = text.lower().split() if text else []  # bytes: A-Z only, and the six ASCII blanks
-    n = len(words)
-    if not n:
+def _shingle_hashes(text: bytes | None, width: int, size: int = 1 << 20) -> Iterator[list[int]]:
+    """XXH64 (seed 42) of every shingle, repeats included, in lists of bounded length, a megabyte of text at a time."""
+    if not text:
         return
     h = xxhash.xxh64_intdigest
-    line = b" ".join(words)
-    if n <= width:
-        yield [h(line, 42)]
-        return
-    size = np.fromiter(map(len, words), np.int64, n) + 1
-    ends = np.cumsum(size) - 1
-    starts, ends = (ends - size + 1)[: n - width + 1], ends[width - 1 :]
-    for a in range(0, len(starts), _HASH_CHUNK):
-        yield [h(line[i:j], 42) for i, j in zip(starts[a : a + _HASH_CHUNK].tolist(), ends[a : a + _HASH_CHUNK].tolist(), strict=True)]
+    parts = [(0, len(text))] if len(text) <= size else cuts(_WORD, np.frombuffer(text, np.uint8), size)
+    before: list[bytes] = []  # the last words of the part before
+    some = False
+    for lo, hi in parts:
+        words = before + text[lo:hi].lower().split()  # bytes: A-Z only, and the six ASCII blanks
+        n = len(words)
+        if n < width:
+            before = words
+            continue
+        some = True
+        line = b" ".join(words)
+        length = np.fromiter(map(len, words), np.int64, n) + 1
+        ends = np.cumsum(length) - 1
+        starts, ends = (ends - length + 1)[: n - width + 1], ends[width - 1 :]
+        yield [h(line[i:j], 42) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        before = words[n - width + 1 :]
+    if not some and before:
+        yield [h(b" ".join(before), 42)]
 
 
 def fingerprint_texts(texts: list[bytes | None], width: int = 4) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import RunHash, crc_fold, fit_in_task, frugal, lut, row_chunks, spans, text_rows
+from varloom.llm.common import crc_fold, cuts, fit_in_task, frugal, lut, row_chunks, run_hashes, spans, text_rows, within
 from varloom.session import ship
 
 _WORD = np.zeros(256, bool)
@@ -56,15 +56,11 @@ class Tokens:
     def of(cls, data: np.ndarray, offs: np.ndarray) -> Tokens:
         c = _LUT[data]
         starts, ends, doc = spans(c, offs)
-        h = RunHash(c)
-        levels = []
-        for k, p in enumerate(PREFIXES):
-            cut = np.minimum(starts + p, ends)
-            x = h(starts, cut) ^ np.uint64(k + 1)
+        word, *stems = run_hashes(c, starts, ends, *(np.minimum(starts + p, ends) for p in PREFIXES))
+        for k, (p, x) in enumerate(zip(PREFIXES, stems, strict=True)):
+            x ^= np.uint64(k + 1)
             x[ends - starts < p] = 0
-            levels.append(x)
-        levels.append(h(starts, ends))
-        return cls(doc, starts, ends, levels)
+        return cls(doc, starts, ends, [*stems, word])
 
 
 @dataclass
@@ -105,7 +101,7 @@ class Model:
         if not segments:
             return 0.0, 0.0
         cost = self.log_k + math.log(n)
-        zs = [self.lam * s - cost for _, _, s in segments]
+        zs = [self.lam * x[2] - cost for x in segments]
         return max(max(zs), 0.0), math.log1p(sum(z for z in zs if z > 0))
 
     def probability(self, z: tuple[float, float]) -> float:
@@ -113,19 +109,15 @@ class Model:
         return 1 / (1 + math.exp(-min(max(a, -40.0), 40.0)))
 
 
-def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, by the Ruzzo-Tompa scan.
+def merge_segments(tokens: Iterator[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score), by the Ruzzo-Tompa scan over the positive tokens only.
 
-    Runs of negative scores are skipped through their prefix sums, so the Python loop is over positive
-    tokens only; it stays linear as each segment is merged at most once.
+    A token is (position, sum of scores before it, sum after it): runs of negative scores are skipped through the
+    sums. The scan stays linear, as each segment is merged at most once.
     """
-    pos = np.flatnonzero(scores > 0)
-    if not len(pos):
-        return []
-    cum = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[list[float]] = []  # [start, end, left sum, right sum]
-    for p in pos.tolist():
-        cur = [p, p + 1, cum[p], cum[p + 1]]
+    found: list[list[float]] = []  # [start, end, left sum, right sum, last one with a smaller left sum]
+    for p, before, after in tokens:
+        cur = [p, p + 1, before, after]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= cur[2]:
@@ -139,6 +131,15 @@ def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(s[0]), int(s[1]), float(s[3] - s[2])) for s in found]
 
 
+def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """The maximal scoring segments of a sequence."""
+    pos = np.flatnonzero(scores > 0)
+    if not len(pos):
+        return []
+    cum = np.concatenate([[0.0], np.cumsum(scores)])
+    return merge_segments(zip(pos.tolist(), cum[pos].tolist(), cum[pos + 1].tolist(), strict=True))
+
+
 def doc_segments(model: Model, t: Tokens, rows: int) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(words, segments) of each text."""
     s = model.token_scores(t)
@@ -150,7 +151,41 @@ def doc_segments(model: Model, t: Tokens, rows: int) -> Iterator[tuple[int, list
         yield b - a, (segments_of(s[a:b]) if has[i] else [])
 
 
-# ---------------------------------------------------------------- fitting
+def long_segments(model: Model, data: np.ndarray, size: int = CHUNK) -> tuple[int, list[tuple[int, int, float]], dict[int, tuple[int, int]]]:
+    """Words and segments of one text, a megabyte at a time, and the byte range of each positive word."""
+    n, total = 0, 0.0
+    at: dict[int, tuple[int, int]] = {}
+
+    def tokens() -> Iterator[tuple[int, float, float]]:
+        nonlocal n, total
+        for a, b in cuts(_WORD, data, size):
+            t = Tokens.of(data[a:b], np.array([0, b - a]))
+            s = model.token_scores(t)
+            cum = total + np.concatenate([[0.0], np.cumsum(s)])
+            for p in np.flatnonzero(s > 0).tolist():
+                at[n + p] = a + int(t.starts[p]), a + int(t.ends[p])
+                yield n + p, float(cum[p]), float(cum[p + 1])
+            n, total = n + len(s), float(cum[-1])
+
+    found = merge_segments(tokens())
+    return n, found, at
+
+
+def text_segments(model: Model, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float, int, int]]]]:
+    """(words, segments with their byte range in ``data``) of each text of a batch."""
+    for lo, hi in row_chunks(offs, CHUNK):
+        base, part = int(offs[lo]), data[offs[lo] : offs[hi]]
+        if hi - lo == 1 and len(part) > CHUNK:
+            n, found, at = long_segments(model, part)
+            yield n, [(a, z, s, base + at[a][0], base + at[z - 1][1]) for a, z, s in found]
+            continue
+        t = Tokens.of(part, offs[lo : hi + 1] - offs[lo])
+        cut = np.searchsorted(t.doc, np.arange(hi - lo + 1)).tolist()
+        for i, (n, found) in enumerate(doc_segments(model, t, hi - lo)):
+            yield n, [(a, z, s, base + int(t.starts[cut[i] + a]), base + int(t.ends[cut[i] + z - 1])) for a, z, s in found]
+
+
+# fitting
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int, Tokens]]:
     """(first row, end row, tokens) of bounded runs of texts: no array of the whole sample's tokens is held."""
     lo = 0
@@ -326,19 +361,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     y = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0))
     y = y.select("doc_id", F.col(label_col).cast("int").alias("y"))
     grain = 1 << 30
-    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(grain))
     n = y.count()
     cut = grain if n <= max_docs else int(grain * max_docs / n)
-
-    def rows(limit: int) -> DataFrame:
-        one = y.where(h < limit).groupBy("doc_id").agg(F.max("y").alias("y"))
-        text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        return text.join(F.broadcast(one), "doc_id")
-
-    size = rows(cut).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:
-        cut = int(cut * max_bytes / size)
-    return rows(cut).select("doc_id", "text", "y")
+    few = y.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(grain)) < cut).groupBy("doc_id").agg(F.max("y").alias("y"))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return within(text.join(F.broadcast(few), "doc_id").distinct(), max_bytes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
@@ -350,14 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
     return fit_in_task(training_sample(docs, labels, **sample), run) or fit_texts([], np.zeros(0))
 
 
-# ---------------------------------------------------------------- scoring
+# scoring
 def _score(model: Model, arr: pa.Array) -> np.ndarray:
-    data, offs = text_rows(arr)
-    out = np.empty(len(arr))
-    for lo, hi in row_chunks(offs, CHUNK):
-        t = Tokens.of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        out[lo:hi] = [model.probability(model.statistic(seg, n)) for n, seg in doc_segments(model, t, hi - lo)]
-    return out
+    return np.array([model.probability(model.statistic(seg, n)) for n, seg in text_segments(model, *text_rows(arr))], float)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,22 +403,14 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for b in batches:
             m = b_model.value
             data, offs = text_rows(b.column(1))
-            for lo, hi in row_chunks(offs, CHUNK):
-                part = data[offs[lo] : offs[hi]]
-                t = Tokens.of(part, offs[lo : hi + 1] - offs[lo])
-                cut = np.searchsorted(t.doc, np.arange(hi - lo + 1))
-                rows, first, last, sc, ev, text = [], [], [], [], [], []
-                for i, (n, seg) in enumerate(doc_segments(m, t, hi - lo)):
-                    for a, z, s in seg:
-                        e = math.exp(min(m.log_k + math.log(n) - m.lam * s, 700.0))
-                        if e < 1:
-                            rows.append(i)
-                            first.append(a)
-                            last.append(z - 1)
-                            sc.append(s)
-                            ev.append(e)
-                            text.append(part[t.starts[cut[i] + a] : t.ends[cut[i] + z - 1]].tobytes().decode())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(sc, pa.float64()), pa.array(ev, pa.float64()), pa.array(text, pa.string())], ["doc_id", "first_word", "last_word", "score", "e_value", "passage"])
+            rows, first, last, sc, ev, text = [], [], [], [], [], []
+            for i, (n, seg) in enumerate(text_segments(m, data, offs)):
+                for a, z, s, x, y in seg:
+                    e = math.exp(min(m.log_k + math.log(n) - m.lam * s, 700.0))
+                    if e < 1:
+                        for held, v in zip((rows, first, last, sc, ev, text), (i, a, z - 1, s, e, data[x:y].tobytes().decode()), strict=True):
+                            held.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(sc, pa.float64()), pa.array(ev, pa.float64()), pa.array(text, pa.string())], ["doc_id", "first_word", "last_word", "score", "e_value", "passage"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, first_word long, last_word long, score double, e_value double, passage string")
 

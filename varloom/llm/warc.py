@@ -118,7 +118,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
         del buf[:size]
 
 
-# ---------------------------------------------------------------- which records are stored
+# which records are stored
 def _payload(html: Column) -> Column:
     return F.coalesce(html.cast("binary"), F.lit("").cast("binary"))
 
@@ -130,7 +130,7 @@ def stored_once(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return d.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("k")).where("k > 1 and response is not null").select("digest", "response")
 
 
-# ---------------------------------------------------------------- writing
+# writing
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, level: int = 4, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 1 << 30) -> DataFrame:
     """Write pages(page_id, url, html) as monolithic archives; the manifest: path, records."""
     ship(pages.sparkSession)
@@ -174,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, le
     return materialize(rows.mapInArrow(frugal(run), "path string, records long"), "warc-manifest")
 
 
-# ---------------------------------------------------------------- normalising
+# normalising
 def normalise_file(fs: pafs.FileSystem, path: str, target: str, level: int = 4) -> int:
     """Rewrite an archive with one gzip member a record, and its sidecar index ``target`` + '.idx'."""
     n = at = 0
@@ -218,7 +218,7 @@ def _spread(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(max(1, min(n, 100_000)), F.xxhash64("path"))
 
 
-# ---------------------------------------------------------------- reading
+# reading
 def read_record(raw: bytes) -> dict:
     """A record's fields; the payload of a response is checked against its digest."""
     cut = raw.index(b"\r\n\r\n")
