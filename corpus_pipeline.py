@@ -16,7 +16,6 @@ from varloom.llm import decontam, langid, mixing, neardup, toxicity
 from varloom.llm.common import materialize
 from varloom.session import read
 
-
 #: Language ID keeps documents whose best language has at least this probability.
 MIN_SCORE = 0.3
 #: Decontamination removes a document when more than this share of its words was hit.
