@@ -273,6 +273,36 @@ def test_recall_over_shards(spark):
     assert hits / (20 * len(want)) > 0.95
 
 
+@pytest.mark.parametrize("scales", [(1e39,), (1e-39,), (1e39, 1.0, 1e-39), (1e120, 1e-120)])
+def test_recall_at_any_magnitude(spark, scales):
+    r = np.random.default_rng(10)
+    x = r.normal(size=(900, 16)) * np.array(scales)[np.arange(900) % len(scales)][:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, shard_rows=400).toPandas()
+    want = brute_nearest(dict(enumerate(x)), range(0, 900, 20), 20)
+    hits = sum(len(set(g.vec_id) & {i for i, _ in want[q]}) for q, g in got.groupby("query_id"))
+    assert hits / (20 * len(want)) > 0.95 and got.groupby("query_id").size().eq(20).all()
+
+
+def test_vectors_of_two_lengths(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in r.normal(size=4 if i % 2 else 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for c in ("d", "v", "band", "h", "shard", "block", "part", "graph", "hot"):
+        df = df.withColumn(c, F.lit(0))
+    got = ann.nearest(df, df.where("vec_id in (20, 41)"), 40).toPandas()
+    assert {int(q): set(g.vec_id % 2) for q, g in got.groupby("query_id")} == {20: {0}, 41: {1}} and len(got) == 58
+
+
+def test_insertion_builds_a_navigable_graph():
+    x = np.random.default_rng(12).normal(size=(4000, 32))
+    g = ann.Graph.build(x, [np.array([i]) for i in range(4000)])
+    assert len(g.layers) > 2 and all((nb < 4000).all() and (nodes[:, None] != nb).all() for nodes, nb in g.layers)
+    want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
+    got, _ = g.search(x[:200], 10)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(got.tolist(), want.tolist(), strict=True)]) > 9.5
+
+
 def test_graph_is_connected_and_dumps():
     x = np.random.default_rng(9).normal(size=(300, 8))
     g = ann.Graph.build(x, [np.array([i]) for i in range(300)])
