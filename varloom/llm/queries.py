@@ -66,6 +66,13 @@ def op10_ann(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def _half(lo: str, hi: str) -> str:
+    """Midpoint sum of a beta density over log-odds from lo to hi."""
+    t = f"({lo} + (i + 0.5) * ({hi} - {lo}) / {url_filter.NODES})"
+    tail = f"ln(1 + exp(-abs({t})))"
+    return f"({hi} - {lo}) / {url_filter.NODES} * list_sum(list_transform(range(0, {url_filter.NODES}), lambda i: exp(-a * ({tail} + greatest(-{t}, 0)) - b * ({tail} + greatest({t}, 0)) - top)))"
+
+
 def _url_sql() -> str:
     rules = sorted((url_filter.parse_rule(*r) for r in RULES), key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
@@ -86,15 +93,19 @@ seen AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS
 parts AS (SELECT *, string_split(host, '.') AS l FROM seen),
 two AS (SELECT *, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS t2, array_to_string(l[greatest(len(l) - 2, 1):], '.') AS t3 FROM parts),
 hosts AS (SELECT host, n, bad, CASE WHEN t2 IN ({long_}) THEN t2 ELSE l[len(l)] END AS suffix, CASE WHEN t2 IN ({long_}) THEN t3 ELSE t2 END AS domain FROM two),
-g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS p0 FROM hosts),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT p0 FROM g) AS m FROM hosts GROUP BY suffix),
-s1 AS (SELECT suffix, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("s0")} AS k FROM s0)),
-d0 AS (SELECT h.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS m FROM hosts h JOIN s1 ON h.suffix = s1.suffix GROUP BY 1, 2),
-d1 AS (SELECT suffix, domain, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("d0")} AS k FROM d0)),
-h0 AS (SELECT host, n, bad, mean AS m FROM hosts JOIN d1 USING (suffix, domain)),
-h1 AS (SELECT host, n + k AS size, (bad + k * m) / (n + k) AS mean FROM (SELECT *, {strength("h0")} AS k FROM h0)),
-rep AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM h1)
-SELECT page_id, host, path, {pick("text")} AS rule, coalesce({pick("verdict")}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+g AS (SELECT coalesce(sum(bad), 0) AS gb, coalesce(sum(n), 0) AS gn FROM hosts),
+s0 AS (SELECT suffix, n, bad, (gb - bad + 0.5) / (gn - n + 1.0) AS m FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix), g),
+ks AS (SELECT {strength("s0")} AS k),
+d0 AS (SELECT d.suffix, domain, d.n, d.bad, (s0.bad - d.bad + k * m) / (s0.n - d.n + k) AS m FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2) d JOIN s0 ON d.suffix = s0.suffix, ks),
+kd AS (SELECT {strength("d0")} AS k),
+h0 AS (SELECT host, h.n, h.bad, (d0.bad - h.bad + k * m) / (d0.n - h.n + k) AS m FROM hosts h JOIN d0 ON h.suffix = d0.suffix AND h.domain = d0.domain, kd),
+kh AS (SELECT {strength("h0")} AS k),
+post AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM h0, kh),
+ab AS (SELECT host, a, b, ln(a / b) AS mode, sqrt(1 / a + 1 / b) AS sd FROM post),
+qd AS (SELECT *, -a * (ln(1 + exp(-abs(mode))) + greatest(-mode, 0)) - b * (ln(1 + exp(-abs(mode))) + greatest(mode, 0)) AS top, least(0, mode - 12 * sd) AS lo, greatest(0, mode + 12 * sd) AS hi FROM ab),
+pt AS (SELECT host, {_half("lo", "0")} AS l, {_half("0", "hi")} AS r FROM qd),
+rep AS (SELECT host, l / (l + r) AS below FROM pt)
+SELECT page_id, host, path, {pick("text")} AS rule, coalesce({pick("verdict")}, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END) AS verdict
 FROM rows LEFT JOIN rep USING (host)
 """
 

@@ -2,19 +2,22 @@
 
 Labelled page outcomes (1 bad, 0 good) are counted per host and shrunk through beta-binomial priors:
 global rate -> suffix (last label, or a listed longer suffix) -> registered domain (one label more) ->
-host. The prior strength of each level is its method-of-moments beta-binomial estimate. A host is
-blocked when the lower posterior bound (mean - z * sd of its beta posterior) of its bad rate exceeds
-``max_bad``. Outcomes are counted before any shuffle of page rows; page rows meet only host rows, by a
-broadcast of counted size or by a salted shuffle.
+host. Each prior leaves out what it is a prior for (a host's domain counts without the host), so no outcome counts
+twice, and has as its strength the level's method-of-moments beta-binomial estimate. A host is blocked when the
+lower posterior bound of its bad rate, the ``level`` quantile of its beta posterior, exceeds ``max_bad``: when the
+posterior's probability up to ``max_bad`` (by quadrature in log-odds) is below ``level``. Outcomes are counted before
+any shuffle of page rows; page rows meet only host rows, by a broadcast of counted size or by a salted shuffle. Up to
+``INLINE_RULES`` rules are one expression; more are a table that is joined on the suffixes of hosts.
 
 Edge cases: a null url or one without ``://`` has empty host and path, and is judged as the host "";
 hosts without labels get their domain's, suffix's or the global prior; without any labels the global
 rate is 0.5 of one pseudo-page and nothing is blocked; repeated labels of a page count once (bad wins);
-null ids and labels are ignored as outcomes; repeated page rows give repeated result rows.
+null ids and labels are ignored as outcomes; repeated page rows give repeated result rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,8 @@ from varloom.llm.common import ascii_lower, lookup_join, materialize
 
 #: Suffixes of two labels that are registries themselves (a parameter, not a full list).
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
-MAX_RULES = 1000
+INLINE_RULES = 200
+NODES = 200
 
 
 @dataclass(frozen=True)
@@ -53,8 +57,6 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits; null where none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -79,34 +81,64 @@ def _strength(level: DataFrame) -> float:
     return 1 / min(max(rho, 0.001), 0.999) - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, bad, mean, bound for every host of pages(page_id, host) given outcomes(page_id, bad)."""
+def beta_cdf(a: Column, b: Column, x: float, nodes: int = NODES) -> Column:
+    """P(p <= x) of a beta(a, b) law: midpoint sums over log-odds on both sides of x, twelve deviations out."""
+    t0 = F.lit(math.log(x / (1 - x)))
+    mode, sd = F.log(a / b), F.sqrt(1 / a + 1 / b)
+    plus = lambda t: F.log1p(F.exp(-F.abs(t))) + F.greatest(t, F.lit(0.0))
+    log_g = lambda t: -a * plus(-t) - b * plus(t)
+    top = log_g(mode)
+
+    def part(lo: Column, hi: Column) -> Column:
+        step = (hi - lo) / nodes
+        return step * F.aggregate(F.sequence(F.lit(0), F.lit(nodes - 1)), F.lit(0.0), lambda acc, i: acc + F.exp(log_g(lo + (i + 0.5) * step) - top))
+
+    left, right = part(F.least(t0, mode - 12 * sd), t0), part(t0, F.greatest(t0, mode + 12 * sd))
+    return left / (left + right)
+
+
+def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """host, n, bad, a, b (its beta posterior) for every host of pages(page_id, host) given outcomes(page_id, bad)."""
     one = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
     seen = pages.select("page_id", "host").join(one, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
     suffix, domain = suffix_domain(F.col("host"))
     hosts = materialize(seen.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"), "url-hosts")
-    t = hosts.agg(F.sum("n"), F.sum("bad")).first()
-    p0 = ((t[1] or 0.0) + 0.5) / ((t[0] or 0.0) + 1.0)
+    n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
+    total = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # the rate of all other suffixes, then the shrunk rate of the suffix's other domains, and of the domain's other hosts
+    sfx = materialize(total("suffix").withColumn("m", (F.lit(bad or 0.0) - F.col("bad") + 0.5) / (F.lit(n or 0.0) - F.col("n") + 1.0)), "url-suffix")
 
-    def shrink(child: DataFrame) -> DataFrame:
-        k = _strength(child)
-        return child.withColumn("mean", (F.col("bad") + k * F.col("m")) / (F.col("n") + k)).withColumn("k", F.lit(k))
+    def below(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
+        k = _strength(parent)
+        up = materialize(parent.select(*on, F.col("n").alias("pn"), F.col("bad").alias("pb"), F.col("m").alias("pm")), "url-parent")
+        rest = lookup_join(child, up, on, "inner", salt=F.col(child.columns[-3]))
+        return rest.withColumn("m", (F.col("pb") - F.col("bad") + k * F.col("pm")) / (F.col("pn") - F.col("n") + k)).drop("pn", "pb", "pm")
 
-    total = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    sfx = materialize(shrink(total("suffix").withColumn("m", F.lit(p0))), "url-suffix")
-    dom = materialize(shrink(total("suffix", "domain").join(sfx.select("suffix", F.col("mean").alias("m")), "suffix")), "url-domain")
-    full = shrink(lookup_join(hosts, dom.select("suffix", "domain", F.col("mean").alias("m")), ["suffix", "domain"], "inner", salt=F.col("host")))
-    size = F.col("n") + F.col("k")
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))
-    return full.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("bound"))
+    dom = materialize(below(total("suffix", "domain"), sfx, ["suffix"]), "url-domain")
+    full = materialize(below(hosts.select("suffix", "domain", "host", "n", "bad"), dom, ["suffix", "domain"]), "url-host")
+    k = _strength(full)
+    return full.select("host", "n", "bad", (F.col("bad") + k * F.col("m")).alias("a"), (F.col("n") - F.col("bad") + k * (1 - F.col("m"))).alias("b"))
+
+
+def rule_table(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """host, path, rule, verdict of the longest rule for each (host, path) that one fits, for any number of rules."""
+    table = materialize(rows.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "above string, start string, rule string, said string"), "url-rules")
+    one = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    fits = lookup_join(one.select("host", "path", F.explode(above).alias("above")), table, ["above"], "inner", salt=F.col("path")).where(F.startswith("path", F.col("start")))
+    return fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "said")).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.said").alias("said"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5, level: float = 0.05, inline: int = INLINE_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url)."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rep = materialize(host_reputation(rows, outcomes, z).select("host", "bound"), "url-rep")
-    text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
+    rep = host_reputation(rows, outcomes)
+    rep = materialize(rep.select("host", F.when(beta_cdf(F.col("a"), F.col("b"), max_bad) < level, "block").otherwise("allow").alias("own")), "url-rep")
     out = lookup_join(rows, rep, ["host"], salt=F.struct("page_id", "path"))
-    return out.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    if len(rules) <= inline:
+        text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+        return out.select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, "own").alias("verdict"))
+    said = materialize(rule_table(rows, rules), "url-said")
+    return lookup_join(out, said, ["host", "path"], salt=F.col("page_id")).select("page_id", "host", "path", "rule", F.coalesce("said", "own").alias("verdict"))

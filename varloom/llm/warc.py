@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import frugal, lookup_join, materialize, shared_path
+from varloom.llm.common import drop_path, frugal, lookup_join, materialize, shared_path
 from varloom.session import ship
 
 MIN_BYTES = 1000
@@ -190,7 +190,7 @@ def normalise_file(fs: pafs.FileSystem, path: str, target: str, level: int = 4)
     return n
 
 
-def normalise(manifest: DataFrame, folder: str, level: int = 4, remove: bool = True) -> DataFrame:
+def normalise(manifest: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Normalise the archives of a manifest; the new manifest: path (its index is path + '.idx'), records."""
     ship(manifest.sparkSession)
 
@@ -266,5 +266,7 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, spark: SparkSession, min_bytes: int = MIN_BYTES, payload: bool = False) -> DataFrame:
     """Write pages, normalise the archives and read them back."""
-    mono = write_archives(pages, shared_path(spark, "warc-mono"), min_bytes)
-    return read_archives(normalise(mono, shared_path(spark, "warc")), payload)
+    folder = shared_path(spark, "warc-mono")
+    index = normalise(write_archives(pages, folder, min_bytes), shared_path(spark, "warc"))
+    drop_path(spark, folder)  # the normalised archives are written whole: nothing reads these again
+    return read_archives(index, payload)
