@@ -18,10 +18,10 @@ def test_relatedness_of_all_samples(spark):
     n = len(x)
     mu = np.nanmean(x, 0)
     z = np.nan_to_num((x - mu) / np.sqrt(mu * (1 - mu / 2)))
-    got = QUERIES["grm_all"](spark, SF).toPandas()
+    got = QUERIES["grm"](spark, SF).toPandas()
     assert len(got) == n * (n + 1) // 2 and got.sample_b.max() == n - 1
     assert np.allclose(got.grm, (z @ z.T / x.shape[1])[got.sample_a, got.sample_b], atol=2e-6)
-    got = QUERIES["king_all"](spark, SF).toPandas()
+    got = QUERIES["king"](spark, SF).toPandas()
     assert len(got) == n * (n - 1) // 2
     for a, b, k in got[["sample_a", "sample_b", "kinship"]].iloc[::997].itertuples(index=False):
         u, v = x[int(a)], x[int(b)]
@@ -68,11 +68,11 @@ def test_a_locus_of_over_2000_variants_is_fine_mapped(spark):
 def test_hits_and_samples_are_whole(spark):
     ss = fx.sumstats(spark, SF).toPandas()
     hits = ss[ss.P < 5e-8]
-    got = QUERIES["significant_hits_all"](spark, SF).toPandas()
+    got = QUERIES["significant_hits"](spark, SF).toPandas()
     assert sorted(got.gidx) == sorted(hits.gidx) and set(got.CHR) == set(hits.CHR) and got.CHR.nunique() > 2
     g = fx.genotypes(spark, SF).toPandas()
     top = g.sample_idx.max()
-    got = QUERIES["reindexed_samples_all"](spark, SF).toPandas()
+    got = QUERIES["reindexed_samples"](spark, SF).toPandas()
     got["sample_idx"] = top - got.sample_idx
     key = ["sample_idx", "chr", "gidx"]
     assert got.sort_values(key).reset_index(drop=True).equals(g[got.columns].sort_values(key).reset_index(drop=True).astype(got.dtypes))

@@ -49,7 +49,7 @@ def qq_summary(sumstats: DataFrame) -> DataFrame:
 def decimate(sumstats: DataFrame, keep_above: float = 3.0, share: float = 0.01, seed: int = 42) -> DataFrame:
     """All points from -log10 P = keep_above on, and a share of the rest by hash of the variant (reruns agree)."""
     s = valid_p(sumstats).withColumn("logp", -F.log10(F.greatest("P", F.lit(MIN_P))))
-    return s.where((F.col("logp") >= keep_above) | (F.pmod(F.xxhash64("gidx", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    return s.where((F.col("logp") >= keep_above) | (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("gidx").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000 < int(share * 1_000_000)))
 
 
 def offsets(points: DataFrame) -> DataFrame:

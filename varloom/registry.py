@@ -40,7 +40,7 @@ def r_(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
-# ---------------------------------------------------------------- statistics and quality control
+# statistics and quality control
 _STATS = f"chr, gidx, n_samples, n_called, {r_('mu_x', 'mu_x')}, {r_('sxx', 'sxx')}, {r_('maf', 'maf')}"
 
 
@@ -102,7 +102,7 @@ def chromosome_counts(s, d):
     return stats.variant_count(stats.variant_stats(fx.genotypes(s, d)))
 
 
-# ---------------------------------------------------------------- subsets and repair
+# subsets and repair
 def _subset_sql(where: str) -> str:
     return ctes("g", more=f"sub AS (SELECT * FROM g WHERE {where})") + f"SELECT chr, gidx, count(*) AS n_samples, count(d) AS n_called, {r_('avg(d)', 'mu_x')}, {r_('var_pop(d) * count(d)', 'sxx')}, {r_('least(avg(d) / 2, 1 - avg(d) / 2)', 'maf')} FROM sub GROUP BY chr, gidx"
 
@@ -155,7 +155,7 @@ def repair_summary(s, d):
     return rnd(subset.repair_summary(subset.repair_report(g, stale)))
 
 
-# ---------------------------------------------------------------- association
+# association
 def _gwas_sql(test: str, extra: str = "", select: str | None = None) -> str:
     se = "sqrt(greatest(syy - b * b * sxx, 1e-20) / ((n - 2) * sxx))" if test == "wald" else "sqrt(syy / ((n - 1) * sxx))"
     body = f"""yc AS (SELECT sample_idx, y_sig - avg(y_sig) OVER () AS yc FROM sig),
@@ -234,7 +234,7 @@ def chi2_from_p(s, d):
     return rnd(fx.sumstats(s, d).where("P > 0 and P < 1").select("gidx", chi2_isf_col(F.col("P")).alias("chi2")), 5)
 
 
-# ---------------------------------------------------------------- scores and cohort
+# scores and cohort
 @query(ctes("g", "st", "w") + f"SELECT sample_idx, {r_('sum(beta * (coalesce(d, 0) - mu_x))', 'score')} FROM g JOIN w USING (gidx) JOIN st USING (gidx) GROUP BY sample_idx")
 def score_centred(s, d):
     return rnd(score.score(fx.genotypes(s, d), fx.weights(s, d)))
@@ -284,7 +284,7 @@ def rank_in_order(s, d):
     return cohort.rank_in_order(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), "o_orderkey")
 
 
-# ---------------------------------------------------------------- screening
+# screening
 _UNI = """yc AS (SELECT sample_idx, y_sig AS y, y_sig - avg(y_sig) OVER () AS yc, avg(y_sig) OVER () AS ybar FROM sig),
 yy AS (SELECT sum(yc * yc) AS syy, count(*) AS n, any_value(ybar) AS ybar FROM yc),
 pos AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY gidx) - 1 AS vidx FROM st),
@@ -344,7 +344,7 @@ def screen_lasso(s, d):
     return screen.screen(fx.genotypes(s, d), fx.phenotypes_sig(s, d), window_size=8, maf_min=0.1, y_col="y_sig")
 
 
-# ---------------------------------------------------------------- joint model and LOCO
+# joint model and LOCO
 @query()
 def joint_lasso(s, d):
     g, p = fx.genotypes(s, d), fx.phenotypes_sig(s, d)
@@ -368,7 +368,7 @@ def loco_masked(s, d):
     return rnd(lasso.loco_masked(g, c, 4.5))
 
 
-# ---------------------------------------------------------------- loci
+# loci
 _CLUMP = """hit AS (SELECT CHR, POS, gidx, ID, P FROM ss WHERE P < 5e-8),
 lst AS (SELECT CHR, list({'p': P, 'pos': POS, 'g': gidx} ORDER BY P, POS, gidx) AS l FROM hit GROUP BY CHR),
 rec AS (SELECT CHR, l[1] AS top, list_filter(l, lambda x: abs(x.pos - l[1].pos) > 1000000) AS l FROM lst UNION ALL
@@ -434,7 +434,7 @@ def locus_variants(s, d):
     return loci.locus_variants(fx.annotation(s, d), _toy_loci(s)).select("locus_id", "gidx", "CHR", "POS")
 
 
-# ---------------------------------------------------------------- fine-mapping columns
+# fine-mapping columns
 _FM = """fm AS (SELECT CAST(1 + user_id % 40 AS INT) AS locus_id, event_id AS gidx, (event_id * 37 % 100) / 100.0::DOUBLE AS sel_freq, (event_id * 53 % 97) / 97.0::DOUBLE AS susie_pip, CASE WHEN event_id % 11 < 2 THEN 1 ELSE 0 END AS in_susie_cs, value / 1e4 AS h2_contribution FROM events)"""
 _CONS = _FM + """,
 f1 AS (SELECT *, CASE WHEN sel_freq >= 0.6 AND in_susie_cs = 1 THEN 1 ELSE 0 END AS in_CCS FROM fm),
@@ -501,7 +501,7 @@ def finemap_consensus(s, d):
     return finemap.finemap(v, _sig_loci(s), fx.annotation(s, d), p, n)[0]
 
 
-# ---------------------------------------------------------------- relatedness and LD
+# relatedness and LD
 @query(ctes("g") + f"SELECT a.chr AS chr, a.gidx AS gidx_a, b.gidx AS gidx_b, count(*) AS n, {r_('corr(a.d, b.d) ** 2', 'r2')} FROM g a JOIN g b ON a.sample_idx = b.sample_idx AND a.chr = b.chr AND a.gidx < b.gidx AND b.gidx - a.gidx <= 10 WHERE a.d IS NOT NULL AND b.d IS NOT NULL GROUP BY 1, 2, 3")
 def ld_r2(s, d):
     return rnd(ld.ld_r2(fx.genotypes(s, d)))
@@ -515,27 +515,15 @@ def gram(s, d):
 _ZS = "zs AS (SELECT sample_idx, gidx, coalesce((d - mu_x) / sqrt(2 * (mu_x / 2) * (1 - mu_x / 2)), 0) AS z FROM g JOIN st USING (chr, gidx) WHERE maf > 0)"
 
 
-@query(ctes("g", "st", more=_ZS) + f"SELECT a.sample_idx AS sample_a, b.sample_idx AS sample_b, {r_('sum(a.z * b.z) / (SELECT count(DISTINCT gidx) FROM zs)', 'grm')} FROM zs a JOIN zs b ON a.gidx = b.gidx AND a.sample_idx <= b.sample_idx WHERE a.sample_idx < 60 AND b.sample_idx < 60 GROUP BY 1, 2")
+@query(ctes("g", "st", more=_ZS) + f"SELECT a.sample_idx AS sample_a, b.sample_idx AS sample_b, {r_('sum(a.z * b.z) / (SELECT count(DISTINCT gidx) FROM zs)', 'grm')} FROM zs a JOIN zs b ON a.gidx = b.gidx AND a.sample_idx <= b.sample_idx GROUP BY 1, 2")
 def grm(s, d):
-    """Relationships among the first cohort batch, standardised by the whole cohort's frequencies."""
-    z = ld.standardised(fx.genotypes(s, d))
-    return rnd(ld.grm_of(z.where("sample_idx < 60")))
-
-
-@query(ctes("g", more="k AS (SELECT a.sample_idx AS sample_a, b.sample_idx AS sample_b, count(*) FILTER (a.d = 1 AND b.d = 1) AS hh, count(*) FILTER (abs(a.d - b.d) = 2) AS opp, count(*) FILTER (a.d = 1) AS ha, count(*) FILTER (b.d = 1) AS hb FROM g a JOIN g b ON a.gidx = b.gidx AND a.sample_idx < b.sample_idx WHERE a.d IS NOT NULL AND b.d IS NOT NULL AND a.sample_idx < 60 AND b.sample_idx < 60 GROUP BY 1, 2)") + f"SELECT sample_a, sample_b, {r_('CASE WHEN least(ha, hb) > 0 THEN (hh - 2 * opp) / (2.0::DOUBLE * least(ha, hb)) + 0.5 - 0.25 * (ha + hb) / least(ha, hb) END', 'kinship')} FROM k")
-def king(s, d):
-    return rnd(ld.king(fx.genotypes(s, d).where("sample_idx < 60")))
-
-
-@query()
-def grm_all(s, d):
-    """Relationships among all samples; ``grm`` is their first batch, as its SQL has it."""
+    """Relationships among all samples."""
     return rnd(ld.grm_blocked(fx.genotypes(s, d)))
 
 
-@query()
-def king_all(s, d):
-    """Kinship of all pairs of samples; ``king`` is their first batch, as its SQL has it."""
+@query(ctes("g", more="k AS (SELECT a.sample_idx AS sample_a, b.sample_idx AS sample_b, count(*) FILTER (a.d = 1 AND b.d = 1) AS hh, count(*) FILTER (abs(a.d - b.d) = 2) AS opp, count(*) FILTER (a.d = 1) AS ha, count(*) FILTER (b.d = 1) AS hb FROM g a JOIN g b ON a.gidx = b.gidx AND a.sample_idx < b.sample_idx WHERE a.d IS NOT NULL AND b.d IS NOT NULL GROUP BY 1, 2)") + f"SELECT sample_a, sample_b, {r_('CASE WHEN least(ha, hb) > 0 THEN (hh - 2 * opp) / (2.0::DOUBLE * least(ha, hb)) + 0.5 - 0.25 * (ha + hb) / least(ha, hb) END', 'kinship')} FROM k")
+def king(s, d):
+    """Kinship of all pairs of samples."""
     return rnd(ld.king_blocked(fx.genotypes(s, d)))
 
 
@@ -544,13 +532,20 @@ def pca(s, d):
     return ld.pca(fx.genotypes(s, d), k=3)[0]
 
 
-@query()
+_PRUNE = """r2 AS (SELECT a.chr AS chr, a.gidx AS a, b.gidx AS b FROM g a JOIN g b ON a.sample_idx = b.sample_idx AND a.chr = b.chr AND a.gidx < b.gidx AND b.gidx - a.gidx <= 10 WHERE a.d IS NOT NULL AND b.d IS NOT NULL GROUP BY 1, 2, 3 HAVING corr(a.d, b.d) ** 2 >= 0.005),
+nd AS (SELECT chr, list(gidx ORDER BY maf DESC, gidx) AS v FROM st GROUP BY chr),
+pr AS (SELECT chr, list({'a': a, 'b': b}) AS p FROM r2 GROUP BY chr),
+gr AS (SELECT chr, v, p, 1 AS i, []::BIGINT[] AS kept FROM nd LEFT JOIN pr USING (chr) UNION ALL
+  SELECT chr, v, p, i + 1, CASE WHEN coalesce(len(list_filter(p, lambda x: (x.a = v[i] AND list_contains(kept, x.b)) OR (x.b = v[i] AND list_contains(kept, x.a)))), 0) = 0 THEN list_append(kept, v[i]) ELSE kept END FROM gr WHERE i <= len(v))"""
+
+
+@query(ctes("g", "st", more=_PRUNE) + "SELECT chr, unnest(kept) AS gidx FROM gr WHERE i = len(v) + 1")
 def ld_clump(s, d):
     g = fx.genotypes(s, d)
     return ld.ld_prune(ld.ld_r2(g), stats.variant_stats(g), 0.005)
 
 
-# ---------------------------------------------------------------- plots
+# plots
 @query(ctes("ss") + f"SELECT gidx, row_number() OVER (ORDER BY P, gidx) AS rank, {r_('-log10(P)', 'observed')}, {r_('-log10(row_number() OVER (ORDER BY P, gidx) / (count(*) OVER () + 1.0::DOUBLE))', 'expected')} FROM ss WHERE P > 0 AND P <= 1")
 def qq_data(s, d):
     return rnd(plotdata.qq(fx.sumstats(s, d)))
@@ -572,12 +567,12 @@ def manhattan_full(s, d):
     return rnd(plotdata.manhattan(fx.sumstats(s, d), share=1.0, break_at=7.0))
 
 
-@query()
+@query(ctes("ss", more="p AS (SELECT *, -log10(P) AS lp FROM ss WHERE P > 0 AND P <= 1), k AS (SELECT * FROM p WHERE lp >= 3 OR ('0x' || substr(md5('42:' || gidx::VARCHAR), 1, 8))::BIGINT % 1000000 < 10000), m AS (SELECT CHR, max(POS) AS mx FROM k GROUP BY CHR), o AS (SELECT CHR, coalesce(sum(mx) OVER (ORDER BY CHR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM m)") + f"SELECT gidx, CHR, POS + off AS x, {r_('lp', 'logp')}, {r_('CASE WHEN lp > 10 THEN 10 + 10 * (log10(lp) - log10(10)) ELSE lp END', 'y')} FROM k JOIN o USING (CHR)")
 def manhattan(s, d):
-    return plotdata.manhattan(fx.sumstats(s, d))
+    return rnd(plotdata.manhattan(fx.sumstats(s, d)))
 
 
-# ---------------------------------------------------------------- PRS
+# PRS
 def _split(c):
     return F.when(c % 5 < 3, "train").when(c % 5 == 3, "val").otherwise("test")
 
@@ -611,31 +606,6 @@ def prs_pipeline(s, d):
     return prs.prs(fx.genotypes(s, d), _prs_data(s, d)[0], alphas=(0.05, 0.1, 0.3), covariates=["age", "sex"], window_size=64, maf_min=0.05).metrics
 
 
-@query("SELECT 'train' AS split, NULL::VARCHAR AS fid WHERE false UNION ALL (SELECT 'both', fid FROM (SELECT concat('f', vec_id::VARCHAR) AS fid FROM embeddings WHERE vec_id % 5 < 4))")
-def train_val_union(s, d):
-    p = fx.phenotypes(s, d).select("fid", _split(F.col("sample_idx")).alias("split"))
-    prs.check_disjoint(p)
-    both = p.where("split = 'train'").select("fid").union(p.where("split = 'val'").select("fid")).distinct()
-    return both.select(F.lit("both").alias("split"), "fid")
-
-
-@query(ctes(more="sw AS (SELECT event_type, count(*) AS n, avg(value) AS val_full FROM events GROUP BY event_type)") + "SELECT arg_max(event_type, val_full) AS best FROM sw")
-def best_of_sweep(s, d):
-    """The setting with the largest metric, as the penalty sweep is decided."""
-    sw = s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("val_full"))
-    return sw.agg(F.max_by("event_type", "val_full").alias("best"))
-
-
-_H2 = "CASE WHEN beta IS NOT NULL THEN beta * beta * 2 * maf * (1 - maf) / (syy / n) END"
-
-
-@query(ctes("g", "st", "ph", "sig", more=_UNI) + f"SELECT chr, gidx, {r_(_H2, 'h2')} FROM un")
-def variance_explained(s, d):
-    """Each variant's share of the phenotype's variance, beta^2 * 2 f (1 - f) / var(y)."""
-    h2 = F.col("beta") * F.col("beta") * 2 * F.col("maf") * (1 - F.col("maf")) / (F.col("syy") / F.col("n"))
-    return rnd(_uni(s, d).select("chr", "gidx", h2.alias("h2")))
-
-
 @query(ctes("g", "st", "ph", "sig", more=_TOP) + f"SELECT chr, gidx, {r_('strength', 'strength')} FROM tk ORDER BY strength DESC, chr, gidx LIMIT 10")
 def candidates_capped(s, d):
     return rnd(screen.cap(screen.with_strength(_uni(s, d)), 10).select("chr", "gidx", "strength"))
@@ -657,29 +627,16 @@ def pc_project(s, d):
     return rnd(ld.pc_project(g, load))
 
 
-@query(ctes("g", more="o AS (SELECT sample_idx, row_number() OVER (ORDER BY sample_idx DESC) - 1 AS new_idx FROM (SELECT DISTINCT sample_idx FROM g WHERE sample_idx < 20))") + "SELECT new_idx AS sample_idx, chr, gidx, d::TINYINT AS dosage FROM g JOIN o USING (sample_idx)")
-def reindexed_samples(s, d):
-    """Twenty samples gathered in reverse order."""
-    order = s.range(20).select(F.col("id").alias("new_idx"), (19 - F.col("id")).alias("sample_idx"))
-    return subset.reindex_samples(fx.genotypes(s, d), order).select("sample_idx", "chr", "gidx", "dosage")
-
-
 @query(ctes("g", more="o AS (SELECT sample_idx, row_number() OVER (ORDER BY sample_idx DESC) - 1 AS new_idx FROM (SELECT DISTINCT sample_idx FROM g))") + "SELECT new_idx AS sample_idx, chr, gidx, d::TINYINT AS dosage FROM g JOIN o USING (sample_idx)")
-def reindexed_samples_all(s, d):
-    """The full sample list in reverse order; ``reindexed_samples`` has twenty, as its SQL does."""
+def reindexed_samples(s, d):
+    """All samples gathered in reverse order."""
     g = fx.genotypes(s, d)
     order = g.select("sample_idx").distinct().select("sample_idx", (F.row_number().over(W.orderBy(F.desc("sample_idx"))) - 1).cast("long").alias("new_idx"))
     return subset.reindex_samples(g, order).select("sample_idx", "chr", "gidx", "dosage")
 
 
-@query(ctes("ss") + "SELECT CHR, POS, gidx FROM ss WHERE P < 5e-8 AND CHR IN (1, 6)")
-def significant_hits(s, d):
-    return loci.significant(fx.sumstats(s, d)).where(F.col("CHR").isin(1, 6)).select("CHR", "POS", "gidx")
-
-
 @query(ctes("ss") + "SELECT CHR, POS, gidx FROM ss WHERE P < 5e-8")
-def significant_hits_all(s, d):
-    """Hits of all chromosomes; ``significant_hits`` has two of them, as its SQL does."""
+def significant_hits(s, d):
     return loci.significant(fx.sumstats(s, d)).select("CHR", "POS", "gidx")
 
 
@@ -687,3 +644,6 @@ def significant_hits_all(s, d):
 def screen_filter(s, d):
     st = stats.variant_stats(fx.genotypes(s, d))
     return st.where((F.col("maf") >= 0.2) & (F.col("sxx") > 0)).select("chr", "gidx")
+
+
+from varloom import registry_io  # noqa: E402, F401 - adds its queries to the same tables

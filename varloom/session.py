@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -39,6 +42,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_varloom_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="varloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "varloom_pkg.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(PACKAGE_DIR):
@@ -50,6 +54,23 @@ def ship(spark: SparkSession) -> None:
     sc._varloom_shipped = True
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name that all executors see: below spark.checkpoint.dir, or on a local master a temporary folder.
+
+    It is a mounted path (sources that are Python code open files themselves), removed when the driver ends.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="varloom-scratch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = f"{str(root).removeprefix('file://').removeprefix('file:').rstrip('/')}/varloom-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def read(spark: SparkSession, sf_dir: str, table: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
