@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.special import MIN_P, chi2_isf_col, erfc, p_from_z, sigmoid
 from varloom.operators.stats import valid
+from varloom.session import kept
 
 TINY = 1e-20
 
@@ -133,6 +136,11 @@ def binary_score(genotypes: DataFrame, null: DataFrame) -> DataFrame:
     a = genotypes.join(n, ["sample_idx", "chr"]).groupBy("chr", "gidx").agg(
         F.sum("w").alias("sw"), F.sum("r").alias("sr"), F.sum(d * F.col("w")).alias("gw"), F.sum(d * d * F.col("w")).alias("ggw"), F.sum(d * F.col("r")).alias("gr"), F.avg(valid(F.col("dosage"))).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum(d * F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("MAC_CASE")
     )
+    return score_columns(a)
+
+
+def score_columns(a: DataFrame) -> DataFrame:
+    """The score statistics of each variant from its sums sw, sr, gw, ggw, gr, its mean dosage, n and MAC_CASE."""
     a = a.withColumn("mu_g", F.col("gw") / F.col("sw")).withColumn("U", F.col("gr") - F.col("mu_g") * F.col("sr"))
     a = a.withColumn("V", F.greatest(F.col("ggw") - F.col("gw") * F.col("gw") / F.col("sw"), F.lit(1e-18)))
     z = F.col("U") / F.sqrt("V")
@@ -172,19 +180,20 @@ def spa_pvalues(g: np.ndarray, mu: np.ndarray, u: np.ndarray, max_iter: int = 50
     return np.where(ok, np.clip(2 * np.minimum(tail, 1 - tail), MIN_P, 1), p_norm)
 
 
-def binary_gwas(genotypes: DataFrame, null: DataFrame, min_mac: float = 20, spa_p: float = 0.05, spa_sd: float = 2.0, recalibrated: bool = True, block: int = 64) -> DataFrame:
+def binary_gwas(genotypes: DataFrame | Callable[[DataFrame], DataFrame], null: DataFrame, min_mac: float = 20, spa_p: float = 0.05, spa_sd: float = 2.0, recalibrated: bool = True, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Logistic score scan; the saddlepoint runs only for variants whose normal p and |Z| call for it.
 
-    Flagged variants are grouped by variant: a group is one variant's samples, never a chromosome.
+    Flagged variants are grouped by variant: a group is one variant's samples, never a chromosome. Other storage gives
+    ``score`` (null -> score columns) and ``genotypes`` as a function of the flagged variants (chr, gidx, ...).
     """
     if recalibrated:
         coef = recalibrate(null)
         null = null.join(F.broadcast(coef), "chr").withColumn("eta", F.col("a") + F.col("b") * F.col("eta")).drop("a", "b")
-    s = binary_score(genotypes, null)
+    s = kept(score(null) if score else binary_score(genotypes, null), "binary-score")
     low = F.col("MAC") < min_mac
     flagged = ~low & (F.col("P_NORM") < spa_p) & (F.abs("Z") > spa_sd)
     todo = s.where(flagged).select("chr", "gidx", "mu_g", "U")
-    calls = genotypes.join(todo, ["chr", "gidx"]).join(null.select("sample_idx", "chr", "eta"), ["sample_idx", "chr"]).select("chr", "gidx", "mu_g", "U", F.coalesce(valid(F.col("dosage")), F.lit(0.0)).alias("d"), "eta")
+    calls = (genotypes(todo) if callable(genotypes) else genotypes).join(todo, ["chr", "gidx"]).join(null.select("sample_idx", "chr", "eta"), ["sample_idx", "chr"]).select("chr", "gidx", "mu_g", "U", F.coalesce(valid(F.col("dosage")), F.lit(0.0)).alias("d"), "eta")
 
     def spa(pdf: pd.DataFrame) -> pd.DataFrame:
         g = (pdf.d.to_numpy() - pdf.mu_g.iloc[0])[:, None]
@@ -219,12 +228,15 @@ def gwas(genotypes: DataFrame, pheno: DataFrame, loco: DataFrame | None = None,
         return annotate(linear_gwas(genotypes, residual_phenotype(pheno, loco, y_col), test, maf_min), annotation)
     if family != "binary":
         raise ValueError("family must be linear or binary")
-    chrs = genotypes.select("chr").distinct()
+    null = binary_null(genotypes.select("chr").distinct(), pheno, loco, y_col)
+    return annotate(binary_gwas(genotypes, null, min_mac, recalibrated=loco is not None), annotation)
+
+
+def binary_null(chrs: DataFrame, pheno: DataFrame, loco: DataFrame | None = None, y_col: str = "y") -> DataFrame:
+    """sample_idx, chr, y, eta: the null model of each chromosome, the mean's log-odds where there is no LOCO prediction."""
     y = pheno.select("sample_idx", F.col(y_col).cast("double").alias("y"))
     if loco is None:
         mean = y.agg(F.avg("y").alias("m"))
-        null = y.join(F.broadcast(mean)).join(F.broadcast(chrs)).select("sample_idx", "chr", "y", logit_offset(F.col("m")).alias("eta"))
-    else:
-        eta = F.col("eta") if "eta" in loco.columns else logit_offset(F.col("yhat"))
-        null = y.join(loco, "sample_idx").select("sample_idx", "chr", "y", eta.alias("eta"))
-    return annotate(binary_gwas(genotypes, null, min_mac, recalibrated=loco is not None), annotation)
+        return y.join(F.broadcast(mean)).join(F.broadcast(chrs)).select("sample_idx", "chr", "y", logit_offset(F.col("m")).alias("eta"))
+    eta = F.col("eta") if "eta" in loco.columns else logit_offset(F.col("yhat"))
+    return y.join(loco, "sample_idx").select("sample_idx", "chr", "y", eta.alias("eta"))

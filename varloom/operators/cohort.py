@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varloom.session import kept
+
 
 @dataclass
 class Fit:
@@ -107,8 +109,8 @@ def rank_in_order(df: DataFrame, order_col: str | list[str], name: str = "row")
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    r = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    r = r.persist()
+    # written once: ranges that are sampled anew after a lost executor could disagree with the counts
+    r = kept(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranks")
     sizes = {x["_p"]: x["count"] for x in r.groupBy("_p").count().collect()}
     base, at = [], 0
     for p in sorted(sizes):

@@ -19,7 +19,7 @@ from varloom.functions.codec import MISSING, unpack
 from varloom.operators.linalg import fista, lambda_grid
 from varloom.operators.loci import locus_variants
 from varloom.operators.packed import VECTOR_BYTES, phenotype_vectors
-from varloom.session import ship
+from varloom.session import kept, ship
 
 CS_LEVELS = (50, 60, 70, 80, 90)
 
@@ -339,7 +339,8 @@ def finemap(variants: DataFrame, loci: DataFrame, annotation: DataFrame, pheno:
         h2 = beta**2 * 2 * s.maf * (1 - s.maf) / max(s.var_y, 1e-300)
         return pd.DataFrame({"locus_id": pdf.locus_id.iloc[0], "chr": c, "gidx": pdf.gidx, "MAF": s.maf, "sel_freq": freq, "lasso_pip": bma, "susie_pip": pips, "avg_beta": avg, "h2_contribution": h2, "in_susie_cs": inside, "note": ""})
 
-    got = rows.groupBy("locus_id").applyInPandas(one, OUT)
+    # both results come from one pass over the loci
+    got = kept(rows.groupBy("locus_id").applyInPandas(one, OUT), "finemap")
     per = consensus(got, level).drop("note").join(annotation.select("gidx", *[c for c in ("POS", "ID", "REF", "ALT") if c in annotation.columns]), "gidx", "left")
     skipped = loci.select("locus_id").join(size, "locus_id", "left").where(F.col("p").isNull() | (F.col("p") < 2) | (F.col("p") > max_variants))
     summary = summarise(per).unionByName(skipped.select("locus_id", F.coalesce("p", F.lit(0)).alias("n_variants"), F.lit("Skipped").alias("locus_status")), allowMissingColumns=True)

@@ -17,9 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.functions.codec import COUNTS, MISSING, counts, pack, stats_of_counts, unpack, width
+from varloom.operators import assoc
 from varloom.operators.assoc import wald_columns
 from varloom.operators.score import resolve_weights
-from varloom.operators.stats import qc_flags
+from varloom.operators.stats import qc_flags, sample_flags
 from varloom.session import ship
 
 SCHEMA = "chr int, gidx long, vidx long, n_samples int, mu_x double, sxx double, maf double, packed binary"
@@ -116,6 +117,11 @@ def sample_counts(variants: DataFrame) -> DataFrame:
     return part.groupBy("sample_idx").agg(*[F.sum(c).alias(c) for c in ("n_missing", "n_het", "n_variants")])
 
 
+def sample_qc(variants: DataFrame, max_missing: float | None = None, het_min: float | None = None, het_max: float | None = None) -> DataFrame:
+    """Rates and ``keep`` per sample, from sums per task: no row a call."""
+    return sample_flags(sample_counts(variants), max_missing, het_min, het_max)
+
+
 def phenotype_vectors(yc: DataFrame, n_samples: int, chromosomes: list[int] | None = None) -> dict[int, np.ndarray]:
     """{chr: centred phenotype by sample_idx} (key 0 for all chromosomes); its size is checked before it is sent."""
     per_chr = "chr" in yc.columns
@@ -164,6 +170,49 @@ def linear_gwas(variants: DataFrame, yc: DataFrame, n_samples: int, test: str =
     return wald_columns(rows.mapInArrow(run, "chr int, gidx long, sxx double, MAF double, num double, syy double, n long"), test).select("chr", "gidx", "BETA", "SE", "Z", "P", "MAF")
 
 
+def binary_sums(variants: DataFrame, null: DataFrame, n_samples: int) -> DataFrame:
+    """The sums of ``assoc.score_columns`` for each variant, by products of decoded blocks with the null's vectors."""
+    spark = variants.sparkSession
+    ship(spark)
+    mu = 0.5 * (F.tanh(F.col("eta") * 0.5) + 1)
+    held = [phenotype_vectors(null.select("sample_idx", "chr", c.alias("yc")), n_samples) for c in (F.greatest(mu * (1 - mu), F.lit(1e-12)), F.col("y") - mu)]
+    vec = spark.sparkContext.broadcast({c: (held[0][c], held[1][c]) for c in held[0]})
+    names = ["sw", "sr", "gw", "ggw", "gr", "mean", "n", "MAC_CASE"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, m in blocks(batches, 2):
+            chrs = b.column(0).to_numpy()
+            code = unpack(m, n_samples)
+            out = np.full((len(names), len(chrs)), np.nan)
+            for c in np.unique(chrs).tolist():
+                if c not in vec.value:
+                    continue
+                w, r = vec.value[c]
+                at = np.flatnonzero(~np.isnan(r))
+                mine = chrs == c
+                k, w, r = code[mine][:, at], w[at], r[at]
+                x = np.where(k == MISSING, 0, k).astype(np.float64)
+                called = (k != MISSING).sum(1)
+                with np.errstate(invalid="ignore"):
+                    mean = x.sum(1) / np.where(called, called, np.nan)
+                out[:, mine] = [np.full(len(x), w.sum()), np.full(len(x), r.sum()), x @ w, (x * x) @ w, x @ r, mean, np.full(len(x), len(r)), x @ (r > 0)]
+            some = ~np.isnan(out[6])
+            cols = [pa.array(v[some], pa.int64() if k == "n" else pa.float64(), from_pandas=True) for k, v in zip(names, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), b.column(1).filter(pa.array(some)), *cols], ["chr", "gidx", *names])
+
+    kinds = ", ".join(f"{k} {'long' if k == 'n' else 'double'}" for k in names)
+    return variants.select("chr", "gidx", "packed").mapInArrow(run, f"chr int, gidx long, {kinds}")
+
+
+def binary_gwas(variants: DataFrame, null: DataFrame, n_samples: int, **how) -> DataFrame:
+    """``assoc.binary_gwas`` on packed rows: only the variants that the saddlepoint needs are unpacked."""
+
+    def flagged(todo: DataFrame) -> DataFrame:
+        return unpack_variants(variants.join(todo.select("chr", "gidx"), ["chr", "gidx"], "left_semi"))
+
+    return assoc.binary_gwas(flagged, null, score=lambda nl: assoc.score_columns(binary_sums(variants, nl, n_samples)), **how)
+
+
 def score(variants: DataFrame, weights: DataFrame, n_samples: int, center: bool = True, missing: str = "ref") -> DataFrame:
     """(sample_idx, score): each task adds up its variants' contributions to all samples."""
     ship(variants.sparkSession)

@@ -52,10 +52,11 @@ def decimate(sumstats: DataFrame, keep_above: float = 3.0, share: float = 0.01,
     return s.where((F.col("logp") >= keep_above) | (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("gidx").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000 < int(share * 1_000_000)))
 
 
-def offsets(points: DataFrame) -> DataFrame:
-    """CHR, offset: the running sum of the largest position of the chromosomes before it."""
-    m = points.groupBy("CHR").agg(F.max("POS").alias("chr_max"))
-    return m.select("CHR", F.coalesce(F.sum("chr_max").over(W.orderBy("CHR").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+def offsets(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """CHR, offset: the running sum of the largest position of the chromosomes before it, for each label of ``by``."""
+    m = points.groupBy(*by, "CHR").agg(F.max("POS").alias("chr_max"))
+    w = W.partitionBy(*by).orderBy("CHR").rowsBetween(W.unboundedPreceding, -1)
+    return m.select(*by, "CHR", F.coalesce(F.sum("chr_max").over(w), F.lit(0)).alias("offset"))
 
 
 def loglog(y, b: float):
@@ -63,8 +64,8 @@ def loglog(y, b: float):
     return F.when(y > b, b + 10 * (F.log10(y) - F.log10(F.lit(b)))).otherwise(y)
 
 
-def manhattan(sumstats: DataFrame, keep_above: float = 3.0, share: float = 0.01, seed: int = 42, break_at: float = 10.0) -> DataFrame:
-    """gidx, CHR, x (cumulative position), logp, y (transformed)."""
+def manhattan(sumstats: DataFrame, keep_above: float = 3.0, share: float = 0.01, seed: int = 42, break_at: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """gidx, CHR, x (cumulative position), logp, y (transformed); ``by`` names label columns for many inputs at once."""
     pts = decimate(sumstats.withColumn("CHR", F.expr("try_cast(CHR AS INT)")).where("CHR is not null"), keep_above, share, seed)
-    j = pts.join(F.broadcast(offsets(pts)), "CHR")
-    return j.select("gidx", "CHR", (F.col("POS") + F.col("offset")).alias("x"), "logp", loglog(F.col("logp"), break_at).alias("y"))
+    j = pts.join(F.broadcast(offsets(pts, by)), [*by, "CHR"])
+    return j.select(*by, "gidx", "CHR", (F.col("POS") + F.col("offset")).alias("x"), "logp", loglog(F.col("logp"), break_at).alias("y"))

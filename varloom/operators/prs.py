@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.operators import lasso
 from varloom.operators.cohort import complete, least_squares, residualise
-from varloom.operators.linalg import fista, logistic
+from varloom.operators.linalg import fista
 from varloom.operators.score import score
 from varloom.operators.screen import cap, screen
 from varloom.operators.stats import variant_stats
 from varloom.operators.subset import keep_samples
+from varloom.session import kept
 
 ALPHAS = (6e-3, 8e-3, 1e-2, 1.2e-2, 1.5e-2, 2e-2)
 ALPHAS_BINARY = (6e-5, 1e-4, 2e-4, 4e-4, 8e-4, 1.5e-3)
@@ -82,31 +83,42 @@ def rank_auc(df: DataFrame, y_col: str = "y", score_col: str = "score") -> DataF
     return j.agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))) / (F.sum("p") * F.sum("q"))).alias("auc"), F.sum("p").alias("n_case"), F.sum("q").alias("n_ctrl"))
 
 
-def auc(df: DataFrame, y_col: str = "y", score_col: str = "score", covariates: list[str] = (), max_rows: int = 2_000_000) -> tuple[float, float]:
-    """In-sample AUC of a logistic model of the covariates, and with the score added.
-
-    The Newton steps run on the driver over at most ``max_rows`` rows of k + 2 numbers.
-    """
+def logistic_fit(df: DataFrame, y_col: str, x_cols: list[str], max_iter: int = 50, tol: float = 1e-10, penalty: float = 1e-6) -> Column:
+    """The linear predictor of a logistic model of the columns: every Newton step is one aggregation of its sums."""
+    k = len(x_cols)
+    m = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(x_cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if k else None
+    x = [F.lit(1.0), *[(F.col(c).cast("double") - float(m[f"m{i}"] or 0)) / float(m[f"s{i}"] or 1) for i, c in enumerate(x_cols)]]
+    base = df.select(F.col(y_col).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    b, pen = np.zeros(k + 1), np.append(0.0, np.full(k, penalty))
+    for _ in range(max_iter):
+        lin = sum((F.col(f"x{i}") * float(v) for i, v in enumerate(b)), F.lit(0.0))
+        mu = 0.5 * (F.tanh(lin * 0.5) + 1)
+        step = base.select("*", (F.col("y") - mu).alias("r"), F.greatest(mu * (1 - mu), F.lit(1e-12)).alias("w"))
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        got = step.agg(*[F.sum(F.col(f"x{i}") * F.col("r")) for i in range(k + 1)], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+        if got[0] is None:
+            break
+        h = np.diag(pen)
+        for (i, j), v in zip(pairs, got[k + 1 :], strict=True):
+            h[i, j] += v
+            if i != j:
+                h[j, i] += v
+        d = np.linalg.solve(h, np.array(got[: k + 1]) - pen * b)
+        b = b + d
+        if np.abs(d).max() < tol:
+            break
+    return sum((c * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))
+
+
+def auc(df: DataFrame, y_col: str = "y", score_col: str = "score", covariates: list[str] = ()) -> tuple[float, float]:
+    """In-sample AUC of a logistic model of the covariates, and with the score added, for any number of rows."""
     cols = [*covariates, score_col]
-    rows = df.where(complete(df, [y_col, *cols])).select(F.col(y_col).cast("double"), *[F.col(c).cast("double") for c in cols])
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError("too many rows for the logistic fit on the driver: use rank_auc")
-    m = rows.toPandas().to_numpy()
-    y, x = m[:, 0], m[:, 1:]
-    x = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
-
-    def one(k: int) -> float:
-        a = np.column_stack([np.ones(len(y)), x[:, :k]])
-        s = a @ logistic(a, y)
-        order = np.argsort(s, kind="stable")
-        rank = np.empty(len(s))
-        _, inv, cnt = np.unique(s[order], return_inverse=True, return_counts=True)
-        rank[order] = (np.cumsum(cnt) - (cnt - 1) / 2)[inv]
-        p = y.sum()
-        return float((rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p)))
-
-    return (one(len(covariates)) if covariates else 0.5), one(len(cols))
+    rows = kept(df.where(complete(df, [y_col, *cols])).select(F.col(y_col).cast("double").alias(y_col), *[F.col(c).cast("double").alias(c) for c in cols]), "auc")
+
+    def one(use: list[str]) -> float:
+        return float(rank_auc(rows.withColumn("_lin", logistic_fit(rows, y_col, use)), y_col, "_lin").first()["auc"])
+
+    return (one(list(covariates)) if covariates else 0.5), one(cols)
 
 
 def select_alpha(sweep: DataFrame, by: str = "val_full") -> float:

@@ -105,6 +105,11 @@ def sample_qc(genotypes: DataFrame, max_missing: float | None = None, het_min: f
     """n_missing, n_het, their rates over all variants, and ``keep`` per sample."""
     d = F.col("dosage")
     a = genotypes.groupBy("sample_idx").agg(F.count_if(valid(d).isNull()).alias("n_missing"), F.count_if(d == 1).alias("n_het"), F.count(F.lit(1)).alias("n_variants"))
+    return sample_flags(a, max_missing, het_min, het_max)
+
+
+def sample_flags(a: DataFrame, max_missing: float | None = None, het_min: float | None = None, het_max: float | None = None) -> DataFrame:
+    """Rates and ``keep`` of samples from n_missing, n_het and n_variants."""
     a = a.withColumn("missing_rate", F.col("n_missing") / F.col("n_variants")).withColumn("het_rate", F.col("n_het") / F.col("n_variants"))
     return a.withColumn("keep", at_most(F.col("missing_rate"), max_missing) & at_least(F.col("het_rate"), het_min) & at_most(F.col("het_rate"), het_max))
 

@@ -115,8 +115,9 @@ class Run:
         if c["family"] == "linear":
             yc = assoc.residual_phenotype(co, loco, "y_original") if loco is not None else assoc.residual_phenotype(co, None, "y_train")
             return assoc.annotate(packed.linear_gwas(v, yc, self.n_samples(), c["test"], c["maf_min"]), ann)
-        g = packed.unpack_variants(v.where(F.col("maf") >= c["maf_min"]))
-        return assoc.gwas(g, co.select("sample_idx", F.col("y_original").alias("y")), loco, "binary", annotation=ann, min_mac=c["min_mac"])
+        v = v.where(F.col("maf") >= c["maf_min"])
+        null = assoc.binary_null(v.select("chr").distinct(), co.select("sample_idx", F.col("y_original").alias("y")), loco)
+        return assoc.annotate(packed.binary_gwas(v, null, self.n_samples(), min_mac=c["min_mac"], recalibrated=loco is not None), ann)
 
     def loci(self, ss: DataFrame) -> DataFrame:
         c = self.cfg["loci"]
@@ -140,7 +141,7 @@ class Run:
         co = out["cohort"] = self.stage("cohort", self.cohort)
         loco = None
         if cfg["qc"]["sample"]:
-            q = stats.sample_qc(packed.unpack_variants(self.variants), cfg["qc"]["sample_max_missing"])
+            q = packed.sample_qc(self.variants, cfg["qc"]["sample_max_missing"])
             co = co.join(q.where("keep").select("sample_idx"), "sample_idx", "left_semi")
         if cfg["screening"]["run"]:
             cand = out["candidates"] = self.stage("candidates", lambda: self.candidates(co))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from varloom import fixtures as fx
 from varloom.fixtures import ctes
 from varloom.functions.codec import MISSING
-from varloom.operators import cohort, finemap, lasso, packed, prs, screen
-from varloom.registry import _TOP, _gwas_sql, _scan, _split, _uni, query, r_, rnd
+from varloom.operators import assoc, cohort, finemap, lasso, packed, prs, screen
+from varloom.registry import _TOP, ORACLE, _gwas_sql, _null, _scan, _split, _uni, query, r_, rnd
 from varloom.session import scratch
 from varloom.sources import convert, gtpack, tables
 
@@ -79,6 +79,32 @@ def packed_subset_folder(s, d):
     return rnd(got.select(F.col("chr").cast("int").alias("chr"), "gidx", F.col("n_samples").cast("long").alias("n_samples"), "mu_x", "maf"))
 
 
+@query(ctes("g") + "SELECT sample_idx, chr, gidx, d::TINYINT AS dosage FROM g WHERE gidx IN (3, 4, 5, 17, 40)")
+def gtpack_gidx_list(s, d):
+    """A pushed list of variants: only their records are read, adjacent ones at once."""
+    got = s.read.format("gtpack").load(_files(s, d)).where(F.col("gidx").isin(3, 4, 5, 17, 40))
+    return packed.unpack_variants(got).select("sample_idx", "chr", "gidx", F.col("dosage").cast("tinyint").alias("dosage"))
+
+
+@query(ORACLE["binary_score"])
+def binary_score_packed(s, d):
+    """Score statistics by products of packed blocks."""
+    v = packed.pack_variants(fx.genotypes(s, d), _n(s, d))
+    got = assoc.score_columns(packed.binary_sums(v, _null(s, d), _n(s, d)))
+    return rnd(got.select("chr", "gidx", "U", "V", "BETA", "SE", "Z", "P_NORM"))
+
+
+@query()
+def gwas_binary_packed(s, d):
+    """The binary scan on packed rows; only flagged variants are unpacked."""
+    return packed.binary_gwas(packed.pack_variants(fx.genotypes(s, d), _n(s, d)), _null(s, d), _n(s, d))
+
+
+@query(ORACLE["sample_qc"])
+def sample_qc_packed(s, d):
+    return rnd(packed.sample_qc(packed.pack_variants(fx.genotypes(s, d), _n(s, d)), max_missing=0.04, het_min=0.2, het_max=0.6))
+
+
 # imports
 @query(ctes("g") + "SELECT sample_idx, chr, gidx, d::TINYINT AS dosage FROM g")
 def vcf_import(s, d):

@@ -229,7 +229,7 @@ def write_file(path: str, dosages, gidx=None, encoding: int = BIT2, magic: bytes
             w.add(row, None if gidx is None else int(gidx[i]))
 
 
-# ---------------------------------------------------------------- Spark source and sink
+# Spark source and sink
 def chromosome(path: str) -> int:
     m = re.search(r"chr(\d+)", os.path.basename(path))
     return int(m[1]) if m else 0
@@ -255,10 +255,11 @@ class _Reader(DataSourceReader):
         self.stats_only = self.o.get("stats_only", "false").lower() == "true"
         self.magic = bytes(self.o["magic"], "latin1") if "magic" in self.o else None
         self.lo, self.hi = int(self.o.get("start", 0)), int(self.o["end"]) if "end" in self.o else None
+        self.asked: dict[str, set[int]] = {}
         self.chrs: set[int] | None = {int(x) for x in self.o["chromosomes"].split(",")} if "chromosomes" in self.o else None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Ranges of vidx and chromosomes prune what is read; Spark checks all filters again."""
+        """Ranges and lists of vidx, lists of gidx and chromosomes prune what is read; Spark checks all filters again."""
         for f in filters:
             if isinstance(f, GreaterThanOrEqual) and f.attribute == ("vidx",):
                 self.lo = max(self.lo, int(f.value))
@@ -269,6 +270,10 @@ class _Reader(DataSourceReader):
             elif isinstance(f, In) and f.attribute == ("chr",):
                 s = {int(v) for v in f.value}
                 self.chrs = s & (self.chrs or s)
+            elif isinstance(f, In) and f.attribute in (("vidx",), ("gidx",)):
+                self.asked[f.attribute[0]] = {int(v) for v in f.value}
+            elif isinstance(f, EqualTo) and f.attribute in (("vidx",), ("gidx",)):
+                self.asked[f.attribute[0]] = {int(f.value)}
             yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -280,7 +285,16 @@ class _Reader(DataSourceReader):
             h = read_header(p, self.magic)
             step = int(self.o.get("rows_per_split", max(1, (32 << 20) // max(h.bytes_per_variant, 1))))
             end = h.n_variants if self.hi is None else min(self.hi, h.n_variants)
-            out += [Range(p, c, a, min(a + step, end)) for a in range(self.lo, end, step)]
+            if not self.asked:
+                out += [Range(p, c, a, min(a + step, end)) for a in range(self.lo, end, step)]
+                continue
+            at = np.arange(self.lo, end)
+            with Reader(p, self.magic) as r:
+                for name, want in self.asked.items():
+                    at = at[np.isin(at if name == "vidx" else r.gidx[at], list(want))]
+            # adjacent variants are one range
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+                out += [Range(p, c, a, min(a + step, int(run[-1]) + 1)) for a in range(int(run[0]), int(run[-1]) + 1, step)]
         return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
