@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from conftest import SF, duck, rows_of
 from pyspark.sql import functions as F
+from test_neardup import brute_kept
 
 import corpus_pipeline
-from varloom.llm import ann, common, decontam, html_extract, langid, mixing, queries, simhash, toxicity, url_filter, warc
+from varloom.llm import ann, common, decontam, html_extract, langid, mixing, queries, toxicity, url_filter, warc
 from varloom.llm.html_extract import Page
 
 PAGES = "page_id long, url string, html string"
@@ -369,11 +370,13 @@ def test_pipeline_against_its_parts(spark):
     a = steps["language_id"]
     clean = {r.doc_id for r in toxicity.score(a, toxicity.fit(a, labels)).where("score < 0.5").collect()}
     assert {r.doc_id for r in steps["toxicity"].collect()} == clean
-    nd = simhash.near_duplicates(steps["toxicity"]).collect()
-    assert sorted(r.doc_id for r in steps["simhash_dedup"].collect()) == sorted({r.component_id for r in nd})
+    left = [(r.doc_id, r.text) for r in steps["toxicity"].collect()]
+    assert sorted(r.doc_id for r in steps["simhash_dedup"].collect()) == brute_kept(left)
     assert decontam.scan(steps["decontamination"], bench).where("n_hit > 0").count() == 0
-    last = corpus_pipeline.run(spark, SF).toPandas()
-    assert sorted(last.doc_id) == sorted(r.doc_id for r in steps["decontamination"].collect())
+    last, want = corpus_pipeline.run(spark, SF).toPandas(), mixing.mixed_text(steps["decontamination"]).toPandas()
+    assert rows_of(last) == rows_of(want) and set(last.doc_id) <= {r.doc_id for r in steps["decontamination"].collect()}
+    counts = mixing.mix(steps["decontamination"]).toPandas()
+    assert last.groupby("doc_id").words.sum().to_dict() == counts[counts.taken > 0].set_index("doc_id").taken.to_dict()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_dedup", "decontamination", "mixing"]
 
 

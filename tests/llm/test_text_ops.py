@@ -529,3 +529,82 @@ def test_three_megabytes_through_spark(spark, name):
         got = simhash.near_duplicates(docs)
         assert next(r.fp for r in got.collect() if r.doc_id == 0) % (1 << 64) == brute_fp(text)
     assert got.count() == 3
+
+
+# whole results of the classifiers' queries
+def test_toxicity_query_against_brute_force(spark):
+    """Scores of all documents by single words, plain loops and the definition of maximal segments."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = toxicity.fit(docs, labels)
+    tables = [dict(zip(k.tolist(), v.tolist(), strict=True)) for k, v in zip(m.keys, m.scores, strict=True)]
+    seen: dict[bytes, float] = {}
+
+    def word_score(w):
+        if w not in seen:
+            d, out = np.frombuffer(w, np.uint8), -m.drift
+            for k, n in enumerate([4, 5, 6, len(w)]):
+                if len(w) >= n:
+                    h = int(common.run_hashes(d, np.array([0]), np.array([min(n, len(w))]))[0][0]) ^ (k + 1 if k < 3 else 0)
+                    out = tables[k].get(h, out)
+            seen[w] = out
+        return seen[w]
+
+    def maximal(x, lo, hi):
+        """The best sum of a range (the shortest, then the first), then what is left and right of it."""
+        best, at, total, start = 0.0, None, 0.0, lo
+        for i in range(lo, hi):
+            if total <= 0:
+                total, start = 0.0, i
+            total += x[i]
+            if total > best + 1e-12:
+                best, at = total, (start, i + 1)
+        if at is None:
+            return []
+        return maximal(x, lo, at[0]) + [best] + maximal(x, at[1], hi)
+
+    got = {r.doc_id: r for r in queries.QUERIES["op5_toxicity"](spark, SF).collect()}
+    rows = docs.collect()
+    for r in rows:
+        words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode())]
+        x = [word_score(w) for w in words]
+        sums = maximal(x, 0, len(x)) if any(v > 0 for v in x) else []
+        z = [m.lam * s - m.log_k - math.log(len(x)) for s in sums]
+        a = m.coef[0] + m.coef[1] * max([0.0, *z]) + m.coef[2] * math.log1p(sum(v for v in z if v > 0))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-a)), abs=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert len(got) == len(rows)
+
+
+def test_language_query_against_brute_force(spark):
+    """Predictions of all documents by direct convolution of every window."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.fit(docs)
+    got = {r.doc_id: r for r in queries.QUERIES["op6_language_id"](spark, SF).collect()}
+    rows = docs.collect()
+    for r in rows:
+        d = (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        logs = []
+        for a in range(0, len(d), langid.WINDOW):
+            w = np.frombuffer(d[a : a + langid.WINDOW + langid.SPAN - 1].ljust(langid.WINDOW + langid.SPAN - 1, b"\0"), np.uint8)
+            e = m.emb[w]
+            z = sum(e[k : k + langid.WINDOW] @ m.conv[k] for k in range(langid.SPAN))
+            logit = np.maximum(z.max(0) + m.bias, 0) @ m.out + m.out_bias
+            logs.append(logit - logit.max() - np.log(np.exp(logit - logit.max()).sum()))
+        p = np.exp(np.mean(logs, 0))
+        p /= p.sum()
+        assert got[r.doc_id].score == pytest.approx(p.max(), abs=1e-4)
+        top = np.sort(p)[::-1]
+        assert top[0] - top[1] < 1e-4 or got[r.doc_id].lang_pred == m.langs[int(p.argmax())]
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert len(got) == len(rows)
+
+
+def test_numbers_that_are_no_letters():
+    assert not langid.has_letter("\u00bd \u00b2 12 _ !") and langid.has_letter("\u00bd x") and langid.has_letter("\u4e2d")
+    model = langid.fit_texts([b"the cat sat", b"der Hund lief"] * 20, ["en", "de"] * 20, epochs=1)
+    assert langid.predict_rows(model, pa.array(["\u00bd\u00b2", None, "a"]))[0][:2] == ["und", "und"]
