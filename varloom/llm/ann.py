@@ -42,7 +42,7 @@ DEGREE = 16
 SLACK = 16
 BUILD_EF = 32
 BATCH = 512
-EF = 192
+EF = 160
 SHARD_ROWS = 16_384
 SHARD_BYTES = 32 << 20
 QUERY_BLOCK = 1024
@@ -63,6 +63,14 @@ def _augment(v: np.ndarray) -> np.ndarray:
     return (np.column_stack([y, np.sqrt(np.maximum(top - sq, 0))]) / math.sqrt(top)).astype(np.float32)
 
 
+def _dots(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows q[i] and x[j], in parts that stay in cache."""
+    out = np.empty(len(i), np.float32)
+    for a in range(0, len(i), 2048):
+        np.einsum("id,id->i", q.take(i[a : a + 2048], 0), x.take(j[a : a + 2048], 0), out=out[a : a + 2048])
+    return out
+
+
 def _beam(x: np.ndarray, nb: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, fan: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The ``ef`` best nodes (n, ef) and their similarities found from ``start`` along ``nb``; -1 where there are fewer, in no order."""
     m = len(q)
@@ -73,6 +81,7 @@ def _beam(x: np.ndarray, nb: np.ndarray, q: np.ndarray, start: np.ndarray, ef: i
     sims[:, 0] = open_[:, 0] = np.einsum("ij,ij->i", q, x[start])
     seen = np.zeros((m, len(nb)), bool)
     seen[np.arange(m), start] = True
+    flat = seen.reshape(-1)
     active = np.arange(m)
     fan = min(fan, ef)
     while len(active):
@@ -80,15 +89,17 @@ def _beam(x: np.ndarray, nb: np.ndarray, q: np.ndarray, start: np.ndarray, ef: i
         pick = np.argpartition(-o, fan - 1, axis=1)[:, :fan] if fan < ef else np.tile(np.arange(ef), (len(active), 1))
         node = np.where(np.take_along_axis(o, pick, 1) > -np.inf, np.take_along_axis(b, pick, 1), -1)
         np.put_along_axis(o, pick, -np.inf, 1)
-        cand = np.where(node[:, :, None] >= 0, nb[np.maximum(node, 0)], -1).reshape(len(active), -1)
+        cand = np.where(node[:, :, None] >= 0, nb.take(np.maximum(node, 0), 0), -1).reshape(len(active), -1)
         cand.sort(axis=1)
         fresh = cand >= 0
         fresh[:, 1:] &= cand[:, 1:] != cand[:, :-1]
-        fresh &= ~seen[active[:, None], np.maximum(cand, 0)]
-        r, c = np.nonzero(fresh)
-        new = cand[r, c]
-        seen[active[r], new] = True
-        v = np.einsum("id,id->i", q[active[r]], x[new])
+        at = np.flatnonzero(fresh)
+        r, new = at // cand.shape[1], cand.ravel().take(at)
+        place = active.take(r) * len(nb) + new
+        fresh = ~flat.take(place)
+        r, new = r[fresh], new[fresh]
+        flat[place[fresh]] = True
+        v = _dots(q, x, active.take(r), new)
         better = v > s.min(1)[r]
         r, new, v = r[better], new[better], v[better]
         # pack what is new to the left, then keep the best
@@ -132,7 +143,7 @@ def _select(x: np.ndarray, cand: np.ndarray, sim: np.ndarray, limit: int) -> np.
     out = np.full((n, limit), -1, np.int32)
     for a in range(0, n, 256):
         k, s = cand[a : a + 256], sim[a : a + 256]
-        xs = x[np.maximum(k, 0)]
+        xs = x.take(np.maximum(k, 0), 0)
         between = xs @ xs.transpose(0, 2, 1)
         kept = np.zeros(k.shape, bool)
         closest = np.full(k.shape, -np.inf, np.float32)  # largest similarity to a picked candidate
@@ -281,8 +292,9 @@ class Graph:
 # Spark
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v, d (length) of the vectors that take part."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    ok = F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    v = F.col(vec_col).cast("array<double>")
+    lo, hi = F.array_min(v), F.array_max(v)  # a NaN is the largest number
+    ok = F.forall(v, lambda x: x.isNotNull()) & (hi < float("inf")) & (lo > float("-inf")) & ((lo < 0) | (hi > 0))
     return df.where(F.col(id_col).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vec_col).alias("d"))
 
 
@@ -294,7 +306,7 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """shard, d, graph: one row a shard, from (vec_id, v, d) rows."""
     ship(vectors.sparkSession)
-    band = F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x)))) / 4).cast("int")
+    band = F.floor(F.log2(F.greatest(F.array_max("v"), -F.array_min("v"))) / 4).cast("int")
     base = materialize(vectors.select("vec_id", "v", "d", band.alias("band"), F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")), "ann-vectors")
     # of more than k + 1 equal vectors, the k + 1 smallest ids, by salted ranks so that many copies are not one task's
     copies = materialize(base.groupBy("h", "h2").count().where(F.col("count") > k + 1).select("h", "h2", F.lit(True).alias("hot")), "ann-copies")
