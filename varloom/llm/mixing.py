@@ -72,7 +72,8 @@ def _ranked(rows: DataFrame, group: str, key: Column, order: list[str], size: Co
     sums = rows.groupBy(group, "_b").agg(F.sum("_n").alias("_n"))
     sums = sums.select(group, "_b", F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = F.sum("_n").over(W.partitionBy(group, "_b").orderBy("_key", *order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    return rows.withColumn("_in", inside).join(sums, [group, "_b"]).withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_key", "_b", "_n", "_base", "_in")
+    # the rows are partitioned and sorted like that already: a merge costs no shuffle of theirs
+    return rows.withColumn("_in", inside).join(sums.hint("merge"), [group, "_b"]).withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_key", "_b", "_n", "_base", "_in")
 
 
 def _named(source: Column) -> Column:
@@ -126,7 +127,7 @@ def shuffled(target: DataFrame, block: int = BLOCK, seed: str = "") -> DataFrame
 
 def placed(target: DataFrame, block: int = BLOCK, seed: str = "") -> DataFrame:
     """pos, block, slot: where in the mix each block of a source's stream stands."""
-    return schedule(target, block).join(shuffled(target, block, seed), ["pos", "rank"]).select("pos", "block", "slot")
+    return schedule(target, block).join(shuffled(target, block, seed).hint("merge"), ["pos", "rank"]).select("pos", "block", "slot")
 
 
 def _with_target(rows: DataFrame, target: DataFrame) -> DataFrame:
@@ -148,9 +149,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     target = materialize(targets(sizes, weights), "mix-targets")
     rows = materialize(_with_target(streams(sizes, seed), target), "mix-rows")
-    got = pieces(rows, block).join(placed(target, block, seed), ["pos", "block"]).groupBy("pos", "cum").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    # tables that grow with the documents: never broadcast, whatever their compressed files weigh
+    got = pieces(rows, block).join(placed(target, block, seed).hint("merge"), ["pos", "block"]).groupBy("pos", "cum").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     # rows without words share their place in the stream with the next one
-    out = rows.withColumn("_at", F.when(F.col("size") > 0, F.col("cum"))).join(got.withColumnRenamed("cum", "_at"), ["pos", "_at"], "left")
+    out = rows.withColumn("_at", F.when(F.col("size") > 0, F.col("cum"))).join(got.withColumnRenamed("cum", "_at").hint("merge"), ["pos", "_at"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
@@ -211,4 +213,4 @@ def mixed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type, source_type = docs.schema[id_col].dataType.simpleString(), docs.schema[source_col].dataType.simpleString()
     parts = placed_rows.select("doc_id", "source", "text", "pos", "size", "cum", "source_size", "want").mapInArrow(frugal(_cut(block)), f"pos long, block long, at long, start long, words long, text string, doc_id {id_type}, source {source_type}")
     plan = materialize(placed(target, block, seed), "mix-plan")
-    return parts.join(plan, ["pos", "block"]).select("slot", "at", "source", "doc_id", "start", "words", "text")
+    return parts.join(plan.hint("merge"), ["pos", "block"]).select("slot", "at", "source", "doc_id", "start", "words", "text")
