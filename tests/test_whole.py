@@ -87,3 +87,21 @@ def test_consensus_runs_the_operator_defaults(spark, monkeypatch):
     d = inspect.signature(finemap.finemap).parameters
     assert (d["pairs"].default, d["n_lambda"].default) == (50, 20)
     assert QUERIES["finemap_consensus"](spark, SF).where("sel_freq > 0").count() > 0
+
+
+def test_pairs_of_samples_are_not_shuffled(spark, monkeypatch):
+    """A pair's row comes straight from its tile; odd calls, missing rows and rounding are as in the pair join."""
+    g = fx.genotypes(spark, SF).where("sample_idx < 40 and gidx < 20")
+    odd = g.where("not (sample_idx % 7 = 3 and gidx > 4) and not (sample_idx = 12 and gidx < 15)").selectExpr("sample_idx", "chr", "gidx", "case when sample_idx = 9 and gidx = 2 then 7 else dosage end as dosage")
+    half = odd.selectExpr("sample_idx", "chr", "gidx", "case when sample_idx = 5 then dosage / 4 else dosage end as dosage")
+    monkeypatch.setattr(ld, "STRIP", 20)
+    for whole, pairs, data in ((ld.grm_blocked, ld.grm, odd), (ld.king_blocked, ld.king, odd), (ld.grm_blocked, ld.grm, half)):
+        made = whole(data, 8, 7)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "FlatMapGroups" not in plan
+        rows = [sorted((r[0], r[1], np.nan if r[2] is None else r[2]) for r in df.collect()) for df in (made, pairs(data))]
+        assert [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]] and np.allclose(*[[r[2] for r in x] for x in rows], equal_nan=True)
+    # 0.4765625 is a half at six digits: SQL rounds it away from zero
+    ones = spark.createDataFrame([(s, 1, v, 1 if v < 32 or s else 0) for s in range(2) for v in range(35)], "sample_idx long, chr int, gidx long, dosage int")
+    exact, cut = (ld.king_blocked(ones, digits=k).first().kinship for k in (None, 6))
+    assert (exact, cut) == (0.4765625, 0.476563)
