@@ -59,3 +59,16 @@ def test_manhattan_of_many_inputs(spark):
     for t, part in (("a", ss), ("b", ss.where("gidx % 2 = 0"))):
         want = plotdata.manhattan(part)
         assert sorted(got.where(F.col("trait") == t).drop("trait").collect()) == sorted(want.collect())
+
+
+def test_scores_are_made_once(spark):
+    """Both fits of r2 and all penalties of a sweep read scores that are made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).selectExpr("double(id) as y", "double(id % 7) as score", "double(id % 3) as age").mapInArrow(count, "y double, score double, age double")
+    assert prs.r2(df, covariates=["age"]).first().n == 100 and seen.value == 100
