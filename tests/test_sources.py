@@ -206,3 +206,31 @@ def test_stream(spark, tmp_path):
     v.where("chr > 3").write.mode("append").parquet(src)
     arrivals.qc_stream(arrivals.arriving_variants(spark, src), str(tmp_path / "out"), str(tmp_path / "ck"), maf_min=0.2).awaitTermination(120)
     assert arrivals.latest(spark, str(tmp_path / "out")).count() == 64
+
+
+def test_bed_is_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No call and no sample id passes the driver; samples keep the file's order over many parts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from varloom.registry import QUERIES
+
+    def never(*_, **__):
+        raise AssertionError("rows through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    n = QUERIES["plink_import"](spark, SF).where("dosage is not null").count()
+    assert n == fx.genotypes(spark, SF).where("dosage is not null").count()
+    stem, n = str(tmp_path / "x"), 4001
+    g = spark.range(n).selectExpr("id as sample_idx", "1 as chr", "3L as gidx", "cast(case when id % 5 < 3 then id % 5 end as tinyint) as dosage")
+    assert convert.write_bed(packed.pack_variants(g.unionByName(g.withColumn("gidx", F.lit(9).cast("long"))), n), n, stem + ".bed") == 2
+    open(stem + ".bim", "w").write("1 a 0 5 G A\n1 b 0 6 G A\n")
+    open(stem + ".fam", "w").writelines(f"f{i} i{i} 0 0 0 -9\n" for i in range(n))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        v, _, s = convert.read_bed(spark, stem + ".bed")
+        assert s.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, s.collect())) == [(i, f"i{i}") for i in range(n)]
+        assert packed.unpack_variants(v).where("gidx = 1").join(g.select("sample_idx", F.col("dosage").alias("d")), "sample_idx").where("dosage <=> d").count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from varloom import fixtures as fx
 from varloom.fixtures import ctes
-from varloom.functions.codec import MISSING
 from varloom.operators import assoc, cohort, finemap, lasso, packed, prs, screen
 from varloom.registry import _TOP, ORACLE, _gwas_sql, _null, _scan, _split, _uni, query, r_, rnd
 from varloom.session import scratch
@@ -127,15 +126,9 @@ def plink_import(s, d):
 
     n, stem = _n(s, d), os.path.join(scratch(s, "plink"), "set")
     os.makedirs(os.path.dirname(stem), exist_ok=True)
-    code = np.full((64, n), MISSING, np.uint8)
-    for r in fx.genotypes(s, d).where("dosage is not null").toLocalIterator():
-        code[r.gidx, r.sample_idx] = r.dosage
-    two = np.argsort(convert.BED_LUT)[code]
-    two = np.pad(two, ((0, 0), (0, -n % 4))).reshape(64, -1, 4)
-    with open(stem + ".bed", "wb") as f:
-        f.write(b"\x6c\x1b\x01" + (two << np.array([0, 2, 4, 6])).sum(-1).astype(np.uint8).tobytes())
+    m = convert.write_bed(packed.pack_variants(fx.genotypes(s, d), n), n, stem + ".bed")
     with open(stem + ".bim", "w") as f:
-        f.writelines(f"{1 + g // 8} v{g} 0 {1_000_000 + g % 8 * 400_000} G A\n" for g in range(64))
+        f.writelines(f"{1 + g // 8} v{g} 0 {1_000_000 + g % 8 * 400_000} G A\n" for g in range(m))
     with open(stem + ".fam", "w") as f:
         f.writelines(f"f{i} f{i} 0 0 0 -9\n" for i in range(n))
     return packed.unpack_variants(convert.read_bed(s, stem + ".bed")[0]).select("sample_idx", "chr", "gidx", F.col("dosage").cast("tinyint").alias("dosage"))

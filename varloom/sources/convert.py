@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from varloom.functions.codec import pack
+from varloom.functions.codec import DECODE, pack
 from varloom.operators.cohort import rank_in_order
 from varloom.session import ship
 
 #: PLINK 1 two-bit codes to ours: 00 -> 0, 01 -> missing, 10 -> 1, 11 -> 2; its first sample is in the low bits.
 BED_LUT = np.array([0, 3, 1, 2], np.uint8)
+#: The PLINK 1 byte of each of our bytes.
+BED_BYTES = (np.argsort(BED_LUT)[DECODE] << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
 
 
 def write_samples(path: str, ids: list[str]) -> str:
@@ -67,17 +69,42 @@ def read_vcf(spark: SparkSession, path: str, region: tuple[str, int, int] | None
     return g, ann, samples
 
 
+def write_bed(variants: DataFrame, n_samples: int, bed: str) -> int:
+    """The packed rows as a PLINK 1 .bed on a mounted path, in order of gidx; the number of variants.
+
+    Each task writes its variants at their places in the file, so no call passes the driver.
+    """
+    ship(variants.sparkSession)
+    rows = rank_in_order(variants.select("gidx", "packed"), "gidx", "place")
+    size = (n_samples + 3) // 4
+    with open(bed, "wb") as f:
+        f.write(b"\x6c\x1b\x01")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with open(bed, "r+b") as f:
+                for place, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    f.seek(3 + place * size)
+                    f.write(BED_BYTES[np.frombuffer(raw.as_buffer(), np.uint8)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select(F.col("place").cast("long"), "packed").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_bed(spark: SparkSession, bed: str, bim: str | None = None, fam: str | None = None, gidx_start: int = 0, rows_per_task: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(packed variants, annotation, samples) of a PLINK 1 file set; each task reads its own range of the file."""
     stem = os.path.splitext(bed)[0]
     ship(spark)
     fam_rows = spark.read.text(fam or stem + ".fam").select(F.split(F.trim("value"), r"\s+").alias("f"), F.monotonically_increasing_id().alias("m"))
-    ids = [r[0] for r in fam_rows.orderBy("m").select(F.col("f")[1]).collect()]
-    samples = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "sample_idx long, id string")
+    # m has the part of the file above bit 33 and the line in it below: only the parts' sizes come to the driver
+    part, n, first = F.shiftright("m", 33), 0, F.lit(None).cast("long")
+    for k, size in sorted((r[0], r[1]) for r in fam_rows.groupBy(part).count().collect()):
+        first, n = F.when(part == k, F.lit(n)).otherwise(first), n + size
+    samples = fam_rows.select((first + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("sample_idx"), F.col("f")[1].alias("id"))
     with open(bim or stem + ".bim") as f:
         bim_rows = [x.split() for x in f if x.strip()]
     ann = spark.createDataFrame([(gidx_start + i, int(x[0].removeprefix("chr")), int(x[3]), x[1], x[5], x[4]) for i, x in enumerate(bim_rows)], "gidx long, CHR int, POS long, ID string, REF string, ALT string")
-    n, m = len(ids), len(bim_rows)
+    m = len(bim_rows)
     size = (n + 3) // 4
     with open(bed, "rb") as f:
         magic = f.read(3)
